@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, matroska, simhash
+from . import langid, matroska, packing, simhash
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
     "op4_language_id": langid.op4_language_id,
     "op5_simhash": simhash.op5_simhash,
+    "op9_packing": packing.op9_packing,
 }
 
 ORACLES: dict[str, str] = {}
