@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, matroska, packing, simhash
+from . import langid, matroska, maxscore, packing, simhash
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
     "op4_language_id": langid.op4_language_id,
     "op5_simhash": simhash.op5_simhash,
+    "op8_maxscore": maxscore.op8_maxscore,
     "op9_packing": packing.op9_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_maxscore": maxscore.OP8_SQL}
