@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, matroska, maxscore, packing, simhash
+from . import langid, logbilinear, matroska, maxscore, packing, simhash
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op8_maxscore": maxscore.op8_maxscore,
     "op9_packing": packing.op9_packing,
+    "op10_lm_scoring": logbilinear.op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {"op8_maxscore": maxscore.OP8_SQL}
