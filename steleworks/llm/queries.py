@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, logbilinear, matroska, maxscore, packing, simhash
+from . import langid, logbilinear, matroska, maxscore, packing, simhash, suffixes
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
     "op4_language_id": langid.op4_language_id,
     "op5_simhash": simhash.op5_simhash,
+    "op6_suffixes": suffixes.op6_suffixes,
     "op8_maxscore": maxscore.op8_maxscore,
     "op9_packing": packing.op9_packing,
     "op10_lm_scoring": logbilinear.op10_lm_scoring,
