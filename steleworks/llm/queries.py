@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, logbilinear, matroska, maxscore, packing, simhash, suffixes
+from . import langid, logbilinear, matroska, maxscore, packing, simhash, suffixes, surrogates
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
+    "op2_surrogates": surrogates.op2_surrogates,
     "op4_language_id": langid.op4_language_id,
     "op5_simhash": simhash.op5_simhash,
     "op6_suffixes": suffixes.op6_suffixes,
