@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, logbilinear, matroska, maxscore, packing, simhash, suffixes, surrogates
+from . import langid, logbilinear, matroska, maxscore, packing, simhash, suffixes, surrogates, unigram
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
     "op2_surrogates": surrogates.op2_surrogates,
+    "op3_unigram": unigram.op3_unigram,
     "op4_language_id": langid.op4_language_id,
     "op5_simhash": simhash.op5_simhash,
     "op6_suffixes": suffixes.op6_suffixes,
