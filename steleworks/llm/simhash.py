@@ -166,7 +166,7 @@ def groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     nodes = components(link_edges(first.select("fp")))
     linked = nodes.join(first, nodes["node"] == first["fp"]).select("fp", "component", "first")
     named = linked.join(linked.groupBy("component").agg(F.min("first").alias("smallest")), "component").select("fp", "smallest")
-    named = first.join(named, "fp", "left").select("fp", F.least("smallest", "first").alias("component_id"))
+    named = cut(first.join(named, "fp", "left").select("fp", F.least("smallest", "first").alias("component_id")))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
