@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import catalog, corpus, extract, images, profile, scores, sequences
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "catalog", "corpus", "extract", "images", "profile", "scores", "sequences"]
