@@ -176,7 +176,11 @@ def op5_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: keeps, of each group, the document with the smallest doc_id, once."""
-    found = groups(docs)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Pipeline stage: keeps, of each group, the document with the smallest doc_id, once.
+
+    Rows without a doc_id can't be told apart; they stay as they are and take part in no group.
+    """
+    named = docs.filter("doc_id IS NOT NULL")
+    keep = groups(named).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
