@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices, table
 
-VOCABULARY, CHUNK, UNIT, SPACE = "piece_bpe_32k.model", 8192, 64, "▁"
+VOCABULARY, CHUNK, UNIT, SPACE = "piece_bpe_32k.model", 16_384, 64, "▁"
 #: Words whose segmentation a worker remembers.
 WORDS = 500_000
 #: What no path reaches.
@@ -43,6 +43,9 @@ class Pieces:
         self.pieces, self.byte_ids, self.names, self.longest, self.unknown = pieces, byte_ids, names, longest, unknown
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        # Scores of pieces, and None for what only pieces start with: a lookup that fails ends the search.
+        self.starts: dict[str, int | None] = {p[:n]: None for p in pieces for n in range(1, len(p))}
+        self.starts |= {p: score for p, (_, score) in pieces.items()}
         self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.spaced = all(p == SPACE + SPACE for p in self.pairs if p[1] == SPACE)
         # A character in bytes scores once, with its first byte.
@@ -97,7 +100,7 @@ def forward(v: Pieces, text: str, body: int, seeds: list[int]) -> tuple[list[int
     stands for its bytes. Of equal scores the one whose last piece is longest wins,
     as its start is met first; a seed comes from a start that is still before.
     """
-    n, most, get, unknown = len(text), v.longest, v.pieces.get, v.unknown
+    n, get, unknown = len(text), v.starts.get, v.unknown
     best = seeds[: n + 1] + [NEVER] * (n + 1 - len(seeds))
     back = [-1] * (n + 1)
     for at in range(body):
@@ -105,14 +108,15 @@ def forward(v: Pieces, text: str, body: int, seeds: list[int]) -> tuple[list[int
         if here <= NEVER:
             continue
         end = at + 1
-        found = get(text[at:end])
-        score = here + (found[1] if found else unknown)
+        found = get(text[at:end], False)
+        score = here + (found or unknown)
         if score > best[end]:
             best[end], back[end] = score, at
-        for end in range(at + 2, (at + most if at + most < n else n) + 1):
-            found = get(text[at:end])
+        while found is not False and end < n:
+            end += 1
+            found = get(text[at:end], False)
             if found:
-                score = here + found[1]
+                score = here + found
                 if score > best[end]:
                     best[end], back[end] = score, at
     return best, back
@@ -169,40 +173,37 @@ def encode(v: Pieces, text: str) -> bytes:
     return b"".join([solve(v, text[a:b]) for a, b in zip(marks, marks[1:], strict=False)])
 
 
-def matrix(v: Pieces, text: str, body: int, last: bool, middle: bool = True) -> np.ndarray:
+def ends(v: Pieces, text: str, body: int) -> tuple[int, int] | None:
+    """The first cut that every state at the chunk's start reaches, and the last cut in the chunk; None if they aren't in this order."""
+    first = next((i for i in range(v.longest, body) if text[i - 1 : i + 1] not in v.pairs), body)
+    last = next((i for i in range(body - 1, first, -1) if text[i - 1 : i + 1] not in v.pairs), 0)
+    return (first, last) if first < last else None
+
+
+def matrix(v: Pieces, text: str, body: int, last: bool) -> np.ndarray:
     """The transfer matrix of chunk text[:body]; text goes on with what the next chunk starts with.
 
     Rows: how far the piece before reaches into the chunk; columns: how far a piece
     reaches over its end. States beyond a chunk that is shorter pass through it.
     """
-    states = v.longest
+    states, found = v.longest, ends(v, text, body)
     out = np.full((states, states), NEVER, np.int64)
-    marks = cuts(v, text, 0, body) if middle else []
-    if not marks or marks[-1] < states:
+    if not found:
         for a in range(states):
             if a >= body:
-                out[a, a - body] = 0 if a - body < states else NEVER
+                out[a, a - body] = 0
                 continue
             best, _ = forward(v, text, body, [NEVER] * a + [0])
             for b in range(states):
                 if body + b <= len(text) and not (last and b):
                     out[a, b] = best[body + b]
         return out
-    # Every path meets the first cut at or after its start, and the last: the matrix is a sum of two vectors there.
-    tail, _ = forward(v, text[marks[-1] :], body - marks[-1], [0])
-    ends = [tail[body - marks[-1] + b] if body + b <= len(text) and not (last and b) else NEVER for b in range(states)]
-    sums, total = {marks[-1]: 0}, 0
-    for a, b in zip(marks[-2::-1], marks[:0:-1], strict=False):
-        total += score_of(v, solve(v, text[a:b]))
-        sums[a] = total
-    for a in range(states):
-        first = next(m for m in marks if m >= a)
-        best, _ = forward(v, text[:first], first, [NEVER] * a + [0])
-        if best[first] != NEVER:
-            for b in range(states):
-                if ends[b] != NEVER:
-                    out[a, b] = best[first] + sums[first] + ends[b]
-    return out
+    # Every path meets both cuts: the matrix is a sum of two vectors and the score between them.
+    x, y = found
+    tail, _ = forward(v, text[y:], body - y, [0])
+    after = np.array([tail[body - y + b] if body + b <= len(text) and not (last and b) else NEVER for b in range(states)], np.int64)
+    before = np.array([forward(v, text[:x], x, [NEVER] * a + [0])[0][x] for a in range(states)], np.int64)
+    return np.maximum(before[:, None] + score_of(v, encode(v, text[x:y])) + after[None, :], NEVER)
 
 
 def combine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -224,9 +225,8 @@ def entries(v: Pieces, text: str, body: int, prefix: list[int]) -> list[int]:
     Which of several best paths is taken depends on the state at the end, so these
     maps, composed from the last chunk to the first, give the states at all cuts.
     """
-    marks = cuts(v, text, 0, body)
-    if marks and marks[-1] >= v.longest:
-        first = next(m for m in marks if m >= v.longest)
+    if found := ends(v, text, body):
+        first = found[0]
         _, back = forward(v, text[:first], first, prefix[: first + 1])
         return [trace(v, text, back, first)[0]] * v.longest
     best, back = forward(v, text, body, prefix)
@@ -245,10 +245,12 @@ def trace_chunk(v: Pieces, text: str, body: int, entry: int, leave: int) -> byte
     """Ids of a chunk between its two states; the piece that crosses its end is its own."""
     if entry >= body:
         return b""
-    marks = [entry, *[m for m in cuts(v, text, entry, body) if m > entry]]
-    rest = text[marks[-1] :]
-    _, back = forward(v, rest, body - marks[-1], [0])
-    return b"".join([*[solve(v, text[a:b]) for a, b in zip(marks, marks[1:], strict=False)], trace(v, rest, back, body + leave - marks[-1])[1]])
+    if found := ends(v, text, body):
+        x, y = found
+        head, rest = text[entry:x], text[y:]
+        return b"".join([trace(v, head, forward(v, head, x - entry, [0])[1], x - entry)[1], encode(v, text[x:y]), trace(v, rest, forward(v, rest, body - y, [0])[1], body + leave - y)[1]])
+    rest = text[entry:]
+    return trace(v, rest, forward(v, rest, body - entry, [0])[1], body + leave - entry)[1]
 
 
 def decode(v: Pieces, ids: list[int]) -> str:
