@@ -171,6 +171,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, shard: int = SHARD, mo
     A query's own rows, those with its vec_id, are no candidates. Ties go to the
     smaller vec_id. Query ids that repeat count once, with the smallest vector;
     repeated candidates count each. Shorter vectors count as filled with zeros.
+    Scores beyond 64 bits are cut to the largest or smallest such number.
     Blocks of queries meet groups of shards; no task gets more than one block and
     GROUP shards, and nothing is broadcast.
     """
@@ -196,8 +197,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, shard: int = SHARD, mo
             part = Shard(ids, np.pad(data, ((0, 0), (0, dims - r["dims"]))))
             for own, query, top in best:
                 search(query, own, part, top)
-        cols = [np.concatenate([[i] * len(t.ids) for i, _, t in best] or [[]]), np.concatenate([t.ids for _, _, t in best] or [[]]), np.concatenate([t.scores for _, _, t in best] or [[]])]
-        return pa.table([pa.array(c.astype(np.int64)) for c in cols], ["query_id", "vec_id", "score"])
+        cols = [[i for i, _, t in best for _ in t.ids], [int(x) for _, _, t in best for x in t.ids], [max(-(2**63), min(2**63 - 1, int(x))) for _, _, t in best for x in t.scores]]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
     found = shards.unionByName(asked).groupBy("q", "g").applyInArrow(run, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
