@@ -24,7 +24,7 @@ from .common import cut, slices, table
 
 WINDOW, END, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Words and stems whose ids a worker remembers.
-CHUNKS, STEMS = 300_000, 500_000
+CHUNKS, STEMS = 600_000, 600_000
 
 
 class WordEncoder:
@@ -61,34 +61,21 @@ class WordEncoder:
         return [stem.lower() if max(stem) < "Ā" else stem, *rest]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, split = self.chunks, []
-        missing: dict[str, list[str] | bytes] = {}
-        for text in texts:
-            words = None if any(c in text for c in self.ODD) else text.split()
-            split.append(words)
-            for w in words or ():
-                if w not in known and w not in missing:
-                    missing[w] = self._parts(w)
-        stems = self.stems
-        new = list(dict.fromkeys(p for parts in missing.values() for p in parts if p not in stems))
-        if new:
-            got = dict(zip(new, self._encode(new), strict=True))
-            if len(stems) + len(got) > self.most[1]:
-                stems = self.stems | got
-                self.stems = {} if len(got) > self.most[1] else self.stems
-            else:
-                stems.update(got)
-        for w, parts in missing.items():
-            missing[w] = stems[parts[0]] if len(parts) == 1 else b"".join([stems[p] for p in parts])
-        room = self.most[0] - len(known)
-        both = known
-        if missing:
-            if room >= len(missing):
-                known.update(missing)
-            else:
-                get, own = known.get, missing
-                return [self._encode([t])[0] if ws is None else b"".join([get(w) or own.get(w, b"") for w in ws]) for t, ws in zip(texts, split, strict=True)]
-        return [self._encode([t])[0] if ws is None else b"".join([both[w] for w in ws]) for t, ws in zip(texts, split, strict=True)]
+        split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
+        known, stems = self.chunks, self.stems
+        new = set().union(*[w for w in split if w]).difference(known)
+        parts = {w: self._parts(w) for w in new}
+        unknown = list({p for own in parts.values() for p in own if p not in stems})
+        stems.update(zip(unknown, self._encode(unknown) if unknown else (), strict=True))
+        known.update({w: stems[own[0]] if len(own) == 1 else b"".join([stems[p] for p in own]) for w, own in parts.items()})
+        get = known.__getitem__
+        out = [self._encode([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split, strict=True)]
+        # What came first stays, as frequent words do; the rest goes again when there is no room.
+        for cache, fresh, most in ((known, new, self.most[0]), (stems, unknown, self.most[1])):
+            if len(cache) > most:
+                for w in fresh:
+                    del cache[w]
+        return out
 
 
 def encoder(vocabulary: str = VOCABULARY) -> Callable[[], WordEncoder]:
