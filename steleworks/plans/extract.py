@@ -152,3 +152,14 @@ def mask_items(spark, d):
     rows = values(spark, "image string, results array<struct<order:int,type:string,box:array<double>>>", [("a", [(1, "MASK2", [-1.0, 0.0, 4.9, 5.0]), (2, "MASK1", [0.0, 0.0, 2.0, 2.0]), (3, "MASK2", [5.0, 5.0, 5.2, 9.0])])])
     r = rows.select("image", F.explode("results").alias("r")).select("image", "r.type", *[F.greatest(F.col("r.box")[i].cast("int"), F.lit(0)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
     return r.filter(F.contains("type", F.lit("MASK2")) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 9 ELSE 1 END AS margin, CAST(json_extract(props, '$.k') AS INTEGER) AS k, '5' AS idx FROM events")
+def map_merge(spark, d):
+    """Options over defaults, later ones win; a map with whole-number keys."""
+    defaults = F.create_map(F.lit("margin"), F.lit(1), F.lit("k"), F.lit(0))
+    own = F.map_concat(F.create_map(F.lit("k"), F.get_json_object("props", "$.k").cast("int")), F.when(F.col("event_type") == "view", F.create_map(F.lit("margin"), F.lit(9))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))))
+    rows = table(spark, d, "events").select("event_id", own.alias("own"))
+    both = F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key("own", k)), F.col("own"))
+    ids = F.transform_keys(F.create_map(F.lit("1"), F.lit("5")), lambda k, v: k.cast("int"))
+    return rows.select("event_id", F.element_at(both, "margin").alias("margin"), F.element_at(both, "k").alias("k"), F.element_at(ids, 1).alias("idx"))

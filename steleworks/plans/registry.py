@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, corpus, extract, images, profile, scores, sequences
+from . import catalog, corpus, extract, images, jobs, profile, scores, sequences
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "corpus", "extract", "images", "profile", "scores", "sequences"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "corpus", "extract", "images", "jobs", "profile", "scores", "sequences"]

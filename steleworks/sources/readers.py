@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from ..functions.text import SPACE
 
 
 def guarded(spark: SparkSession, read, schema: str) -> DataFrame:
-    """What read() gives, or an empty table of this schema if the path is not there."""
+    """What read() gives, or an empty table of this schema if the path is not there."""
     try:
         return read()
     except AnalysisException as e:
@@ -26,23 +25,23 @@ def guarded(spark: SparkSession, read, schema: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, schema: str = schemas.TRANSCRIPTS) -> DataFrame:
-    """CSV with a header; cells may hold line feeds, a byte order mark is skipped."""
+    """CSV with a header; cells may hold line feeds, a byte order mark is skipped."""
     return guarded(spark, lambda: spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path), schema)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value) of every line that isn't blank, without white space around it."""
+    """(value) of every line that isn't blank, without white space around it."""
     raw = guarded(spark, lambda: spark.read.text(path), "value string")
     return raw.select(F.regexp_replace("value", f"^{SPACE}+|{SPACE}+$", "").alias("value")).filter("value <> ''")
 
 
 def ids(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct ids, one a line."""
+    """Distinct ids, one a line."""
     return lines(spark, path).distinct()
 
 
 def status_log(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, status) of a log of two columns, split at the first comma; of several lines of a file the last wins."""
+    """(filename, status) of a log of two columns, split at the first comma; of several lines of a file the last wins."""
     raw = guarded(spark, lambda: spark.read.text(path, wholetext=True), "value string")
     rows = raw.select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).filter((F.trim("line") != "") & F.contains("line", F.lit(",")))
     parts = rows.select("n", F.split("line", ",", 2).alias("p")).select("n", F.trim(F.col("p")[0]).alias("filename"), F.trim(F.col("p")[1]).alias("status"))
@@ -50,24 +49,24 @@ def status_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value): files as one text each."""
+    """(path, value): files as one text each."""
     return guarded(spark, lambda: spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"), "path string, value string")
 
 
 def joined_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value): the stripped lines of each file, joined without anything between."""
+    """(path, value): the stripped lines of each file, joined without anything between."""
     strip = lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
     return whole_texts(spark, path).select("path", F.array_join(F.transform(F.split("value", "\n"), strip), "").alias("value"))
 
 
 def json_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """(path, document): JSON of a known schema as structs, of any other as VARIANT."""
+    """(path, document): JSON of a known schema as structs, of any other as VARIANT."""
     raw = whole_texts(spark, path)
     return raw.select("path", (F.from_json("value", schema) if schema else F.try_parse_json("value")).alias("document"))
 
 
 def config(spark: SparkSession, path: str, defaults: dict) -> dict:
-    """A JSON object over the defaults, key by key; a file that can't be read leaves the defaults."""
+    """A JSON object over the defaults, key by key; a file that can't be read leaves the defaults."""
     import json
 
     try:
@@ -78,14 +77,14 @@ def config(spark: SparkSession, path: str, defaults: dict) -> dict:
 
 
 def images(spark: SparkSession, path: str, glob: str = "*.{png,jpg}", least: int = 256) -> DataFrame:
-    """Image files in order of path; too small ones and those of another kind are left out."""
+    """Image files in order of path; too small ones and those of another kind are left out."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).filter(F.col("length") >= least)
     head = F.hex(F.substring("content", 1, 4))
     return rows.filter((head == "89504E47") | head.startswith("FFD8FF")).orderBy("path")
 
 
 def shards(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """(path, row, label, pixels) of NPZ shards `images`, `labels`; a broken shard has no rows."""
+    """(path, row, label, pixels) of NPZ shards `images`, `labels`; a broken shard has no rows."""
 
     def run(batches):
         for b in batches:
@@ -96,7 +95,8 @@ def shards(spark: SparkSession, path: str, most: int | None = None) -> DataFrame
                 except Exception:  # whatever is wrong with a shard, the others are read
                     continue
                 n = min(len(x), len(y))
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"path": name, "row": range(n), "label": y[:n].astype("int64"), "pixels": [v.ravel().astype("int32").tolist() for v in x[:n]]}), preserve_index=False)
+                pixels = pa.array([v.ravel().astype("int32").tolist() for v in x[:n]], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(y[:n].astype("int64")), pixels], ["path", "row", "label", "pixels"])
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
     out = raw.mapInArrow(run, "path string, row long, label long, pixels array<int>")
@@ -104,13 +104,13 @@ def shards(spark: SparkSession, path: str, most: int | None = None) -> DataFrame
 
 
 def listing(spark: SparkSession, path: str, ignored: tuple[str, ...] = (".git", "__pycache__")) -> DataFrame:
-    """(path, depth, size) of all files below a folder that no ignored folder holds, in order."""
+    """(path, depth, size) of all files below a folder that no ignored folder holds, in order."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"))
     rows = rows.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, ignored))))
     return rows.select("path", (F.size(F.split("path", "/")) - 1).alias("depth"), "size").orderBy("path")
 
 
 def dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """A Parquet data set, split by folders split=…; one of its splits reads that folder only."""
+    """A Parquet data set, split by folders split=…; one of its splits reads that folder only."""
     df = spark.read.parquet(path)
     return df.filter(F.col("split") == split) if split and "split" in df.columns else df

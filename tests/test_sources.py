@@ -78,3 +78,14 @@ def test_stream_resumes(spark, tmp_path):
     spark.createDataFrame([(3, at(3), 7, "error"), (4, at(1), 8, "view")], schema).write.mode("append").parquet(f"{tmp_path}/in")
     for _ in range(2):  # nothing is counted twice
         assert {tuple(r) for r in run_status(spark, f"{tmp_path}/in", f"{tmp_path}/s").collect()} == {(7, "error", 3), (8, "view", 1)}
+
+
+def test_paged_list(spark, tmp_path):
+    from steleworks.sources.paged import PagedList, until_empty
+
+    for page, ids in {1: "ab", 2: "bc", 3: "", 4: "z"}.items():
+        (tmp_path / f"{page}.html").write_text("".join(f"<a onclick=\"fn_view('{i}')\">" for i in ids))
+    spark.dataSource.register(PagedList)
+    rows = spark.read.format("paged_list").option("template", f"file://{tmp_path}/{{page}}.html").option("pages", "5").load()
+    assert {(r["page"], r["item"], r["error"]) for r in rows.collect()} == {(1, "a", None), (1, "b", None), (2, "b", None), (2, "c", None), (4, "z", None), (5, None, "URLError")}
+    assert sorted(r["item"] for r in until_empty(rows).collect()) == ["a", "b", "c"]
