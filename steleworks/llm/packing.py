@@ -24,7 +24,7 @@ from .common import cut, slices, table
 
 WINDOW, END, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Words and stems whose ids a worker remembers.
-CHUNKS, STEMS = 600_000, 600_000
+CHUNKS, STEMS = 350_000, 400_000
 
 
 class WordEncoder:
