@@ -31,7 +31,7 @@ from .common import cut, parallelism, release, slices, table
 
 WINDOW, GRAM, CELL, LIMIT = 400, 32, 32, 128
 #: Bytes that are hashed at a time, and the low bits of a key that hold a place in them.
-BUFFER, PLACE = 1 << 20, 24
+BUFFER, PLACE = 1 << 19, 24
 
 _rng = np.random.default_rng(400)
 _BYTES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
