@@ -48,7 +48,9 @@ class WordEncoder:
         self.chunks, self.stems, self.most = {}, {}, (chunks, stems)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # Encodings are large beside their ids, so only some are there at a time.
+        some = (texts[at : at + 2000] for at in range(0, len(texts), 2000))
+        return [np.array(e.ids, "<u4").tobytes() for part in some for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def _parts(self, chunk: str) -> list[str]:
         if chunk.isalpha():
