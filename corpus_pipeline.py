@@ -18,7 +18,7 @@ STAGES = [
     ("best_fit_packing", packing.stage),
 ]
 
-#: No stage but PII could be told in SQL; the tests compare run() with a brute-force version.
+#: SQL can't tell these stages; the tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 

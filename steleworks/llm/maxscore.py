@@ -177,7 +177,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, shard: int = SHARD, mo
     """
     n_shards = max(1, -(-vectors.count() // shard))
     n_queries = max(1, -(-queries.count() // most))
-    groups = -(-n_shards // GROUP)
+    # Groups of GROUP shards at most, and smaller ones where that leaves tasks without work.
+    groups = min(n_shards, max(-(-n_shards // GROUP), parallelism(vectors.sparkSession) // n_queries))
     shards = blocks(vectors, n_shards, 2 * shard).select(
         F.lit(1).alias("kind"), "block", "ids", "dims", "data", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("q"), (F.col("block") % groups).alias("g")
     )
