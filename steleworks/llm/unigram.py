@@ -48,6 +48,9 @@ class Pieces:
         self.starts |= {p: score for p, (_, score) in pieces.items()}
         self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.spaced = all(p == SPACE + SPACE for p in self.pairs if p[1] == SPACE)
+        self.bytes_of = [n.encode() for n in names]
+        for b, k in byte_ids.items():
+            self.bytes_of[k] = bytes([b])
         # A character in bytes scores once, with its first byte.
         self.scores = np.zeros(len(names), np.int64)
         for k, score in pieces.values():
@@ -259,8 +262,7 @@ def decode(v: Pieces, ids: list[int]) -> str:
     A space mark that stood in the text itself comes back as a space, as with any
     vocabulary of this kind; every other text is the same again.
     """
-    numbers = {k: b for b, k in v.byte_ids.items()}
-    out = b"".join(bytes([numbers[i]]) if i in numbers else v.names[i].encode() for i in ids)
+    out = b"".join(map(v.bytes_of.__getitem__, ids))
     text = out.decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if text[:1] == " " else text
 
