@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices, table
 
-VOCABULARY, CHUNK, UNIT, SPACE = "piece_bpe_32k.model", 16_384, 64, "▁"
+VOCABULARY, CHUNK, UNIT, SPACE = "piece_bpe_32k.model", 65_536, 64, "▁"
 #: Words whose segmentation a worker remembers.
 WORDS = 500_000
 #: What no path reaches.
