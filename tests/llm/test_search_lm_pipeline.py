@@ -104,6 +104,45 @@ def test_token_probabilities_sum_to_one(spark):
         assert abs(total - 1) < 1e-9
 
 
+@pytest.mark.parametrize("held", [200_000, 5])
+def test_tokens_outside_of_the_classes_learn_from_context(spark, held):
+    # x1 is always before y1 and x2 before y2; none of the four is a class.
+    lines = [" ".join(r.choice(["the of", "of the", "the the", *(f"x{i} y{i}" for i in range(1, 9))]) for _ in range(40)) for r in map(random.Random, range(200))]
+    docs = spark.createDataFrame([(i, x, False) for i, x in enumerate(lines)], "doc_id long, text string, held_out boolean")
+    model, counts = logbilinear.train(docs, classes=3, held=held)
+    vocabulary = [bytes(r["token"]).decode() for r in counts.collect()]
+    assert len(vocabulary) == 19
+    score = lambda texts: {r["doc_id"]: r["score"] for r in logbilinear.score(spark.createDataFrame([(i, x, True) for i, x in enumerate(texts)], "doc_id long, text string, held_out boolean"), model, counts).collect()}
+    # P(x1, w) over all w and an unseen one, then the end: each factor is normalised.
+    after = {v: logbilinear_next(model, counts, v) for v in ("x1", "the", "new")}
+    assert all(abs(sum(a.values()) - 1) < 1e-4 for a in after.values())
+    got = score(["x1 y1", "x1 x1", "the y1", "the x1", "new y1", "y1 new"])
+    for i, words in enumerate([("x1", "y1"), ("x1", "x1"), ("the", "y1"), ("the", "x1"), ("new", "y1"), ("y1", "new")]):
+        path = ["", *words, ""]
+        want = sum(math.log10(logbilinear_next(model, counts, v).get(w, 0) or logbilinear_next(model, counts, v)["unseen token"]) for v, w in zip(path, path[1:], strict=False))
+        assert abs(got[i] - want) < 1e-3
+    # Both have the same count in one class: only context tells them apart.
+    share = lambda v, w: after[v][w] / (counts.filter(counts.token == w.encode()).first()["n"] + 1)
+    assert share("the", "x1") > 1.5 * share("the", "y1")
+
+
+def logbilinear_next(model, counts, v):
+    """P(w | v) of all tokens by brute force."""
+    f, m, half = model.rest.frame, model.classes, lambda b: np.frombuffer(b, np.float16).astype(np.float32)
+    of = {bytes(r["token"]): r for r in counts.collect()}
+    i, row = model.index.get(v.encode(), m), of.get(v.encode())
+    if i < m:
+        first, near = model.table[i] * math.log(10), i
+    else:
+        s = f.base + (f.after @ half(row["context"]) if row else 0)
+        first, near = s - np.log(np.exp(s).sum()), row["near"] if row else m
+    own = {t.decode(): float(f.before[near] @ half(r["target"]) + r["bias"]) for t, r in of.items() if r["target"] is not None}
+    own["unseen token"] = -math.log(f.other)
+    z = math.log(sum(map(math.exp, own.values())))
+    out = {t: math.exp(first[m] + s - z) for t, s in own.items()}
+    return out | {t.decode(): math.exp(first[model.index[t]]) for t, r in of.items() if r["target"] is None}
+
+
 def test_lm_on_an_empty_table(spark):
     docs = empty(spark).drop("held_out").selectExpr("*", "false AS held_out")
     model, counts = logbilinear.train(docs)
