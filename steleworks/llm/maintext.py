@@ -56,6 +56,19 @@ class Page:
         tags, parents, marks, pieces = self.tags, self.parents, self.marks, self.pieces
         n = len(source)
 
+        def enclose() -> None:
+            """What stands outside of all elements belongs to the body, which is implied where it has no tag."""
+            if len(stack) > 1:
+                return
+            for name in ("html", "body"):
+                if name in tags:
+                    stack.append(tags.index(name))
+                elif name == "body" or "body" not in tags:
+                    tags.append(name)
+                    parents.append(stack[-1])
+                    marks.append([])
+                    stack.append(len(tags) - 1)
+
         def put(raw: str) -> None:
             nonlocal fresh
             if "&" in raw:
@@ -63,6 +76,7 @@ class Page:
             if fresh and not raw.strip():
                 return
             if fresh:
+                enclose()
                 pieces.append([stack[-1], raw, len(raw) if link else 0])
                 fresh = False
             else:
@@ -109,8 +123,11 @@ class Page:
                         break
                 continue
             link = False
-            if name in ("html", "body") and name in tags:
-                continue
+            if name in ("html", "body"):
+                if name in tags:
+                    continue
+            else:
+                enclose()
             if name in CLOSES_P:
                 for k in range(len(stack) - 1, 0, -1):
                     if tags[stack[k]] == "p":

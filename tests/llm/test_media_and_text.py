@@ -345,6 +345,15 @@ def test_main_text(spark):
     assert maintext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_loose_text_of_fragments_is_scored():
+    for source, text in {"plain text": "plain text", "Intro <b>x</b><p>One.</p>tail": "Intro x\nOne.\ntail", "<p>One.</p>tail": "One.\ntail", "Intro<html><body><p>One.": "Intro\nOne.", "<html><body><p>One.</p></body></html>tail": "One.\ntail", "<body><p>One.</p></body>tail": "One.\ntail"}.items():
+        page = maintext.Page(source)
+        assert all(node for node, *_ in page.pieces) and all(p < i for i, p in enumerate(page.parents))
+        assert page.tags.count("body") == 1 and maintext.joined(page, [True] * len(page.tags)) == text
+    trees, words = maintext.model(), " ".join(f"word{i}, and more of the story." for i in range(60))
+    assert maintext.extract(trees, [words, f"<html><body>{words}</body></html>"]) == [words, words]
+
+
 def test_plan_packs_gaplessly():
     r = random.Random(1)
     for _ in range(120):
