@@ -43,6 +43,9 @@ HANGUL_TITLES = "씨님"
 # Domains kept for examples by RFC 2606; nobody owns an address there.
 RESERVED = {"example.com", "example.net", "example.org"}
 
+# Country calling codes of one and of two digits (ITU-T E.164); all others have three.
+CALLING = {"1", "7"} | set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
 _CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóú", "àèìòù", "âêîôû", "äëïöü", "ÁÉÍÓÚ", "ÄËÏÖÜ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ"]
 _CLASS_OF = {ch: own for own in _CLASSES for ch in own}
 _HEX, _UPPER, _ALNUM = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -108,6 +111,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def calling_code(number: str) -> str:
+    """The country's code at the start of an international number's digits, however they are grouped."""
+    return next((number[:k] for k in (1, 2) if number[:k] in CALLING), number[:3])
+
+
 def _refilled(like: str, digits: str) -> str:
     """like with its digits and letters replaced in turn."""
     left = iter(digits)
@@ -196,7 +204,8 @@ _RE = {
 }
 _WORD = r"[A-ZÀ-ÖØ-ÞА-Я][\w'’-]*"
 _TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True))}) ({_WORD})(?: ({_WORD}))?")
-_PAIR = re.compile(rf"(?<![\w.])({_WORD}) ({_WORD})(?!\w)")
+# A lookahead, so that pairs may overlap: the word before a name doesn't swallow its first part.
+_PAIR = re.compile(rf"(?<![\w.])(?=({_WORD}) ({_WORD})(?!\w))")
 _EAST = re.compile(rf"([{''.join(POOLS['han', 's'])}])([一-鿿]{{1,2}})(?={'|'.join(HAN_TITLES[i : i + 2] for i in range(0, len(HAN_TITLES), 2))})|([{''.join(POOLS['hangul', 's'])}])([가-힣]{{1,2}})(?=[{HANGUL_TITLES}])")
 _FIRST = {w for (_, g), pool in POOLS.items() if g in "fm" for w in pool}
 _KNOWN_FIRST = re.compile("|".join(sorted(_FIRST)))
@@ -255,9 +264,8 @@ def entities(text: str | None, key: bytes = KEY) -> list[Entity]:
         if kind == "EMAIL":
             canonical = raw.lower()
         elif kind == "PHONE":
-            code = _RE["PHONE"].fullmatch(raw)
-            code = code.group(1) if code else None
             number = re.sub(r"\D", "", raw)
+            code = calling_code(number) if raw.startswith("+") else None
             canonical = f"{code} {number[len(code):]}" if code else f" {number}"
         elif kind in ("CARD", "SSN", "IBAN"):
             canonical = re.sub(r"[ -]", "", raw)

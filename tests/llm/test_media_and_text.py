@@ -228,6 +228,18 @@ def test_surrogates():
     assert surrogates.entities(text, b"other key") != found
 
 
+def test_names_after_a_capitalised_word_and_spellings_of_a_number():
+    for before in ("Contact ", "Yesterday ", "Our Manager ", ""):
+        text = f"{before}Maria Garcia"
+        assert [(x.kind, text[x.start : x.end]) for x in surrogates.entities(text)] == [("GIVEN", "Maria"), ("LAST", "Garcia")]
+    text = "Ask Maria Anna Garcia"
+    assert [(x.kind, text[x.start : x.end]) for x in surrogates.entities(text)] == [("GIVEN", "Maria"), ("GIVEN", "Anna"), ("LAST", "Garcia")]
+    for code, spellings in {"1": ["+14155552671", "+1 415 555 2671", "+1 (415) 555-2671", "+1-415-555-2671"], "49": ["+493012345678", "+49 30 1234 5678"], "353": ["+353861234567", "+353 86 123 4567"]}.items():
+        found = [surrogates.entities(f"Call {x} now") for x in spellings]
+        assert {x.canonical for own in found for x in own} == {f"{code} {''.join(c for c in spellings[0] if c.isdigit())[len(code):]}"}
+        assert len({"".join(c for c in own[0].surrogate if c.isdigit()) for own in found}) == 1 and all(own[0].surrogate.startswith("+" + code) for own in found)
+
+
 def test_surrogates_are_distinct():
     r = random.Random(8)
     cards = set()
