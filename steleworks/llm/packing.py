@@ -10,74 +10,122 @@ pieces of its length.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, table
 
 WINDOW, END, VOCABULARY = 4096, 1, "word_bpe_49k.json"
-#: Words and stems whose ids a worker remembers.
-CHUNKS, STEMS = 350_000, 400_000
+#: Bytes of the words and their ids that a worker remembers, what an entry takes besides, and bytes of text that are encoded at a time.
+REMEMBERED, ENTRY, TEXT = 96 << 20, 230, 8 << 20
+#: Letters that every Unicode version classes alike and that no normaliser changes but to lower case, and a mark behind them: one pre-token or two.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Bytes above ASCII as the letters that stand for them in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    odd = [b for b in range(256) if b not in plain]
+    return {b: 0x100 + k for k, b in enumerate(odd)}
 
 
 class WordEncoder:
     """Ids of whole texts, as little-endian 32-bit bytes, from a tokenizer that never joins over white space.
 
-    Texts are split at white space; a chunk of letters, or of letters and one mark,
-    is looked up by its lower-case stem, any other goes to the tokenizer as it is.
-    All ids come from the tokenizer. A text with control characters that only one
-    side takes for white space is encoded whole.
+    Texts are split at ASCII white space and chunks are looked up, each distinct one of a
+    batch once. A new chunk of plain letters, or of these and one mark, goes to the
+    tokenizer's model at once, in the form that its normaliser and pre-tokenizer would
+    give it; any other goes through the whole tokenizer. Tokenizers that differ in what
+    they do before the model are told by a trial and get no short cut.
     """
 
-    MARKS = frozenset(".,;:!?")
-    ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+    MARKS = ".,;:!?"
+    TRIAL = "Ünïted STATES, a; façade! Zz? él. o: ÿþð"
 
-    def __init__(self, path: str, chunks: int = CHUNKS, stems: int = STEMS):
+    def __init__(self, path: str, most: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.chunks, self.stems, self.most = {}, {}, (chunks, stems)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.plain = _PLAIN
+        self.marks = dict(zip(self.MARKS, self._encode(list(self.MARKS)), strict=True)) | {"": b""}
+        if b"".join(map(self._chunk, self.TRIAL.split())) != self._encode([self.TRIAL])[0]:
+            self.plain = re.compile("(?!)")
+        self.known, self.size, self.most = {}, 0, most
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         # Encodings are large beside their ids, so only some are there at a time.
         some = (texts[at : at + 2000] for at in range(0, len(texts), 2000))
         return [np.array(e.ids, "<u4").tobytes() for part in some for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
-    def _parts(self, chunk: str) -> list[str]:
-        if chunk.isalpha():
-            stem, rest = chunk, []
-        elif chunk[-1] in self.MARKS and chunk[:-1].isalpha():
-            stem, rest = chunk[:-1], [chunk[-1]]
-        else:
-            return [chunk]
-        # Lower case is one character for one up to U+00FF; the tokenizer does the rest itself.
-        return [stem.lower() if max(stem) < "Ā" else stem, *rest]
+    def _chunk(self, chunk: str) -> bytes | None:
+        """Ids of a plain chunk; None for another one."""
+        found = self.plain.fullmatch(chunk)
+        if not found:
+            return None
+        word = found[1].lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes() + self.marks[found[2]]
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        known = self.known
+        found = [known.get(c) for c in chunks]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        other = []
+        for i in new:
+            found[i] = self._chunk(chunks[i])
+            if found[i] is None:
+                other.append(i)
+        for i, ids in zip(other, self._encode([chunks[i] for i in other]), strict=True):
+            found[i] = ids
+        # What came first stays, as frequent words do.
+        for i in new:
+            more = len(chunks[i]) + len(found[i]) + ENTRY
+            if self.size + more > self.most:
+                break
+            known[chunks[i]] = found[i]
+            self.size += more
+        return found
+
+    def encode_array(self, texts: pa.StringArray) -> tuple[memoryview, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin and the last one's end, in bytes."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        chunks = lists.flatten().dictionary_encode()
+        ids = pa.array(self._ids(chunks.dictionary.to_pylist()), pa.large_binary())
+        joined = ids.take(chunks.indices)
+        if not len(joined):
+            return memoryview(b""), np.zeros(len(texts) + 1, np.int64)
+        # Taken values lie one after the other.
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
+        return memoryview(joined.buffers()[2] or b""), ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
-        known, stems = self.chunks, self.stems
-        new = set().union(*[w for w in split if w]).difference(known)
-        parts = {w: self._parts(w) for w in new}
-        unknown = list({p for own in parts.values() for p in own if p not in stems})
-        stems.update(zip(unknown, self._encode(unknown) if unknown else (), strict=True))
-        known.update({w: stems[own[0]] if len(own) == 1 else b"".join([stems[p] for p in own]) for w, own in parts.items()})
-        get = known.__getitem__
-        out = [self._encode([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split, strict=True)]
-        # What came first stays, as frequent words do; the rest goes again when there is no room.
-        for cache, fresh, most in ((known, new, self.most[0]), (stems, unknown, self.most[1])):
-            if len(cache) > most:
-                for w in fresh:
-                    del cache[w]
-        return out
+        data, at = self.encode_array(pa.array(texts, pa.string()))
+        return [bytes(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = TEXT) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts have `most` bytes at the most, or one text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    start, ends = 0, np.cumsum(sizes)
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def encoder(vocabulary: str = VOCABULARY) -> Callable[[], WordEncoder]:
@@ -155,14 +203,15 @@ def pieces(docs: DataFrame, make: Callable[[], WordEncoder], window: int = WINDO
     def run(batches):
         coder, pid, last = make(), TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
         seen = np.zeros(window + 1, np.int64)
-        for b in slices(batches, 1024):
+        for b in (part for batch in batches for part in by_bytes(batch, 1)):
             rows = []
-            for doc, data in zip(b.column(0).to_pylist(), coder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                data += last
-                for k, at in enumerate(range(0, len(data), 4 * window)):
-                    part = data[at : at + 4 * window]
+            data, at = coder.encode_array(b.column(1))
+            for doc, begin, stop in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                for k, x in enumerate(range(begin, stop + 4, 4 * window)):
+                    part = bytes(data[x : min(x + 4 * window, stop)])
+                    part = part if len(part) == 4 * window else part + last
                     n = len(part) // 4
-                    rows.append((doc, k, at // 4, n, zlib.crc32(part), pid, int(seen[n])))
+                    rows.append((doc, k, (x - begin) // 4, n, zlib.crc32(part), pid, int(seen[n])))
                     seen[n] += 1
             if rows:
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]

@@ -394,7 +394,7 @@ def test_word_encoder_equals_the_tokenizer():
     odd = ["", " ", "don't Won't'S I'll x́y Ａbc İstanbul ΑΣ Σ. ½ a²b \x1c x", "a<|endoftext|>b <|startoftext|>   q　z 12,345.67 __a_b ée É. É,, naïve! 漢字碑 한글 🎉x ́a", " \x85a\x0bb", "ﬁ ǅ ß ẞ. Å Å"]
     for text in odd:
         assert coder.encode([text]) == coder._encode([text])
-    small = packing.WordEncoder(__import__("public_tokenizers").path("word_bpe_49k.json"), 3, 3)
+    small = packing.WordEncoder(__import__("public_tokenizers").path("word_bpe_49k.json"), 700)
     r = random.Random(2)
     texts = [prose(r, 50) + ", X." for _ in range(5)]
     for _ in range(3):
