@@ -13,7 +13,7 @@ import bisect
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import by_bytes, cut, table
 
 WINDOW, END, VOCABULARY = 4096, 1, "word_bpe_49k.json"
-#: Bytes of the words and their ids that a worker remembers, what an entry takes besides, and bytes of text that are encoded at a time.
-REMEMBERED, ENTRY, TEXT = 96 << 20, 230, 8 << 20
+#: Bytes of the words and their ids that a worker remembers, and what an entry takes besides.
+REMEMBERED, ENTRY = 96 << 20, 230
 #: Letters that every Unicode version classes alike and that no normaliser changes but to lower case, and a mark behind them: one pre-token or two.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
 
@@ -118,16 +118,6 @@ class WordEncoder:
         return [bytes(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def by_bytes(batch: pa.RecordBatch, column: int, most: int = TEXT) -> Iterator[pa.RecordBatch]:
-    """The batch in parts whose texts have `most` bytes at the most, or one text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
-    start, ends = 0, np.cumsum(sizes)
-    while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def encoder(vocabulary: str = VOCABULARY) -> Callable[[], WordEncoder]:
     """A maker of one encoder for each worker; vocabulary: a name of the public tokenizers or a path."""
 

@@ -4,7 +4,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from steleworks.llm import logbilinear, maxscore
 from steleworks.llm.queries import ORACLES, QUERIES
@@ -50,105 +52,100 @@ def test_maxscore_on_an_empty_table(spark):
     assert maxscore.top_k(q, q, 5).count() == 0
 
 
-def test_model_is_normalised_and_beats_the_unigram():
-    r = np.random.default_rng(1)
-    counts = np.zeros((30, 30))
-    at = 0
-    for _ in range(20_000):
-        nxt = (at * 7 + r.integers(0, 4)) % 30
-        counts[at, nxt] += 1
-        at = nxt
-    table = logbilinear.fit(counts)
-    assert np.allclose((10**table).sum(1), 1)
-    share = np.log10((counts.sum(0) + 1) / (counts.sum() + 30))
-    assert (counts * table).sum() > (counts * share).sum() + 0.1 * counts.sum()
+def _keys(text):
+    return [*map(logbilinear.key_of, (text or "").encode().lower().split()), logbilinear.END]
 
 
 def _base(texts, train):
-    c = Counter(t for x in train for t in [*(x or "").encode().lower().split(), b""])
+    c = Counter(t for x in train for t in _keys(x))
     n, v = sum(c.values()), len(c)
     out = []
     for x in texts:
-        ts = [*(x or "").encode().lower().split(), b""]
+        ts = _keys(x)
         out.append((len(ts), sum(c[t] > 0 for t in ts), n, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts)))
     return out
 
 
+def _brute(model, counts, text):
+    """log10 P(text), place by place, with sums over all clusters, members and other tokens written out."""
+    voc, line = model.voc, [logbilinear.END] * logbilinear.ORDER + _keys(text)
+    total = 0.0
+    for i in range(logbilinear.ORDER, len(line)):
+        u = sum(model.place[j - 1] * model.before[voc.rows([line[i - j]])[0]] for j in range(1, logbilinear.ORDER + 1)).astype(float)
+        row = voc.rows([line[i]])[0]
+        k = int(np.searchsorted(voc.start, row, "right")) - 1
+        outer = model.outer @ u + model.outer_bias
+        own = range(voc.start[k], voc.start[k + 1])
+        inner = {r: float(model.after[r] @ u + model.bias[r]) for r in own}
+        total += outer[k] - math.log(np.exp(outer).sum()) + inner[row] - math.log(sum(map(math.exp, inner.values())))
+        if row == voc.start[k + 1] - 1:
+            rest = [w for w in counts if voc.held.get(w, (0, -1))[1] < 0 and voc.others([w])[0] == k]
+            total += math.log((counts.get(line[i], 0) + 1) / (sum(counts[w] + 1 for w in rest) + 1))
+    return total / math.log(10)
+
+
 @pytest.mark.parametrize("held", [200_000, 5])
 def test_scores_on_awkward_documents(spark, held):
     docs = awkward(spark, 3000).drop("held_out", "score").selectExpr("*", "doc_id % 2 = 1 AS held_out", "7.5D AS score")
-    model, counts = logbilinear.train(docs.filter("doc_id % 2 = 0"), classes=3, held=held)
-    got = logbilinear.score(docs, model, counts).collect()
+    long_ = spark.createDataFrame([(20, "a " + "x" * 500 + " " + "X" * 500, False), (21, "y" * 500 + " b " + "x" * 500, True)], "doc_id long, text string, held_out boolean")
+    docs = docs.unionByName(long_, allowMissingColumns=True)
+    model, seen = logbilinear.learned(docs.filter("NOT held_out"), held, widen=1)
+    got = logbilinear.score(docs, model, seen).collect()
     raw = docs.collect()
-    want = _base([r["text"] for r in raw], [r["text"] for r in raw if r["doc_id"] is not None and r["doc_id"] % 2 == 0])
+    want = _base([r["text"] for r in raw], [r["text"] for r in raw if r["held_out"] is False])
+    counts = {bytes(r["token"]): r["n"] for r in seen.collect()}
     key = lambda r: (str(r[0]), r[1], r[2], round(r[4], 6))
-    a = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got), key=key)
-    b = sorted(((r["doc_id"], *w) for r, w in zip(raw, want, strict=True)), key=key)
+    a = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got), key=key)
+    b = sorted(((r["doc_id"], *w, r["text"]) for r, w in zip(raw, want, strict=True)), key=key)
     assert len(a) == len(b)
     for x, y in zip(a, b, strict=True):
         assert x[:4] == y[:4] and abs(x[4] - y[4]) < 1e-6 * max(1, abs(y[4]))
+        if x[1] < 60:
+            assert abs(x[5] - _brute(model, counts, y[5])) < 1e-3 * max(1, x[1])
     assert all(r["score"] < 0 for r in got)
 
 
 def test_token_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(1, "a b a c", False), (2, "b d e f", False)], "doc_id long, text string, held_out boolean")
-    model, counts = logbilinear.train(docs, classes=3, held=4)
-    tokens = [b"a", b"b", b"c", b"d", b"e", b"f", b"", b"new"]
-    c = {bytes(r["token"]): r["n"] for r in counts.collect()}
-    for v in range(model.classes + 1):
-        total = 0.0
-        for t in tokens:
-            i = model.index.get(t)
-            inside = i is not None and i < model.classes
-            total += 10 ** model.table[v, i] if inside else 10 ** model.table[v, model.classes] * (c.get(t, 0) + 1) / model.other
-        assert abs(total - 1) < 1e-9
-
-
-@pytest.mark.parametrize("held", [200_000, 5])
-def test_tokens_outside_of_the_classes_learn_from_context(spark, held):
-    # x1 is always before y1 and x2 before y2; none of the four is a class.
-    lines = [" ".join(r.choice(["the of", "of the", "the the", *(f"x{i} y{i}" for i in range(1, 9))]) for _ in range(40)) for r in map(random.Random, range(200))]
-    docs = spark.createDataFrame([(i, x, False) for i, x in enumerate(lines)], "doc_id long, text string, held_out boolean")
-    model, counts = logbilinear.train(docs, classes=3, held=held)
-    vocabulary = [bytes(r["token"]).decode() for r in counts.collect()]
-    assert len(vocabulary) == 19
-    score = lambda texts: {r["doc_id"]: r["score"] for r in logbilinear.score(spark.createDataFrame([(i, x, True) for i, x in enumerate(texts)], "doc_id long, text string, held_out boolean"), model, counts).collect()}
-    # P(x1, w) over all w and an unseen one, then the end: each factor is normalised.
-    after = {v: logbilinear_next(model, counts, v) for v in ("x1", "the", "new")}
-    assert all(abs(sum(a.values()) - 1) < 1e-4 for a in after.values())
-    got = score(["x1 y1", "x1 x1", "the y1", "the x1", "new y1", "y1 new"])
-    for i, words in enumerate([("x1", "y1"), ("x1", "x1"), ("the", "y1"), ("the", "x1"), ("new", "y1"), ("y1", "new")]):
-        path = ["", *words, ""]
-        want = sum(math.log10(logbilinear_next(model, counts, v).get(w, 0) or logbilinear_next(model, counts, v)["unseen token"]) for v, w in zip(path, path[1:], strict=False))
-        assert abs(got[i] - want) < 1e-3
-    # Both have the same count in one class: only context tells them apart.
-    share = lambda v, w: after[v][w] / (counts.filter(counts.token == w.encode()).first()["n"] + 1)
-    assert share("the", "x1") > 1.5 * share("the", "y1")
-
-
-def logbilinear_next(model, counts, v):
-    """P(w | v) of all tokens by brute force."""
-    f, m, half = model.rest.frame, model.classes, lambda b: np.frombuffer(b, np.float16).astype(np.float32)
-    of = {bytes(r["token"]): r for r in counts.collect()}
-    i, row = model.index.get(v.encode(), m), of.get(v.encode())
-    if i < m:
-        first, near = model.table[i] * math.log(10), i
-    else:
-        s = f.base + (f.after @ half(row["context"]) if row else 0)
-        first, near = s - np.log(np.exp(s).sum()), row["near"] if row else m
-    own = {t.decode(): float(f.before[near] @ half(r["target"]) + r["bias"]) for t, r in of.items() if r["target"] is not None}
-    own["unseen token"] = -math.log(f.other)
-    z = math.log(sum(map(math.exp, own.values())))
-    out = {t: math.exp(first[m] + s - z) for t, s in own.items()}
-    return out | {t.decode(): math.exp(first[model.index[t]]) for t, r in of.items() if r["target"] is None}
+    docs = spark.createDataFrame([(1, "a b a c of the", False), (2, "b d e f off then", False)], "doc_id long, text string, held_out boolean")
+    model, seen = logbilinear.learned(docs, widen=1)
+    voc = model.voc
+    rows = np.arange(len(model.cluster))
+    for context in (0, 1, len(rows) - 1):
+        assert abs(np.exp(model.log_probabilities(np.full((logbilinear.ORDER, len(rows)), context), rows)).sum() - 1) < 1e-5
+    counts = {bytes(r["token"]): r["n"] for r in seen.collect()}
+    mass = np.ones(len(voc.mass))  # an unseen token in each cluster
+    for w, n in counts.items():
+        if voc.held[w][1] < 0:
+            mass[voc.others([w])[0]] += n + 1
+    assert (mass == voc.mass).all() and any(r < 0 for _, r in voc.held.values())
+
+
+def test_model_learns_from_all_its_positions(spark):
+    # What follows m is told by the word two before, what follows n by that three before.
+    lines = [" ".join(r.choice([f"{x} m {y}{x}", f"{x} {y} n {x}{y}{x}"]) for _ in range(60) for x, y in [r.choice([("aa", "b"), ("cc", "d"), ("ee", "f")])]) for r in map(random.Random, range(300))]
+    docs = spark.createDataFrame([(i, x, i % 5 == 0) for i, x in enumerate(lines)], "doc_id long, text string, held_out boolean")
+    model, seen = logbilinear.learned(docs.filter("NOT held_out").coalesce(1), share=1.0)
+    got = logbilinear.score(docs.filter("held_out"), model, seen).agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+    assert got[1] / got[2] > got[0] / got[2] + 0.25
+    swap = spark.createDataFrame([(1, "aa m baa", True), (2, "aa m dcc", True), (3, "aa b n aabaa", True), (4, "aa b n ccdcc", True)], "doc_id long, text string, held_out boolean")
+    s = {r["doc_id"]: r["score"] for r in logbilinear.score(swap, model, seen).collect()}
+    assert s[1] > s[2] + 0.3 and s[3] > s[4] + 0.3
+
+
+def test_lm_splits_words_as_python_does():
+    texts = ["".join(map(chr, range(1, 300))), " a\tB\x0bc\x0c\r\nD  ", "", "\x1cx\x85y", "É\u2003z"]
+    own, codes, at = logbilinear.words(pa.array([*texts, None]))
+    for k, text in enumerate([*texts, ""]):
+        assert [own[c] for c in codes[at[k] : at[k + 1]]] == list(map(logbilinear.key_of, text.encode().lower().split()))
 
 
 def test_lm_on_an_empty_table(spark):
     docs = empty(spark).drop("held_out").selectExpr("*", "false AS held_out")
-    model, counts = logbilinear.train(docs)
-    assert logbilinear.score(docs, model, counts).count() == 0
+    model, seen = logbilinear.learned(docs)
+    assert logbilinear.score(docs, model, seen).count() == 0
     one = spark.createDataFrame([(1, "x y", True)], "doc_id long, text string, held_out boolean")
-    assert logbilinear.score(one, model, counts).first()["n_known"] == 0
+    row = logbilinear.score(one, model, seen).first()
+    assert row["n_known"] == 0 and row["n_tokens"] == 3 and row["base_score"] == 0.0
 
 
 def test_held_out_rule(spark):
