@@ -111,7 +111,10 @@ def test_token_probabilities_sum_to_one(spark):
     voc = model.voc
     rows = np.arange(len(model.cluster))
     for context in (0, 1, len(rows) - 1):
-        assert abs(np.exp(model.log_probabilities(np.full((logbilinear.ORDER, len(rows)), context), rows)).sum() - 1) < 1e-5
+        line = np.full((len(rows), logbilinear.ORDER + 1), context)
+        line[:, -1] = rows
+        asked = np.arange(logbilinear.ORDER, line.size, logbilinear.ORDER + 1)
+        assert abs(np.exp(model.log_probabilities(line.ravel(), asked)).sum() - 1) < 1e-5
     counts = {bytes(r["token"]): r["n"] for r in seen.collect()}
     mass = np.ones(len(voc.mass))  # an unseen token in each cluster
     for w, n in counts.items():
