@@ -56,7 +56,17 @@ def mask_illegible(c: Column) -> Column:
 
 
 def strip_class(c: Column, pattern: str = REMOVED) -> Column:
-    return F.regexp_replace(c, pattern, "")
+    """Without the characters of a class.
+
+    Java's matcher goes through a large class member by member, but holds single Latin
+    characters in a bit set: those of ASCII go first, as a class of their own, and what the
+    class can't hold is kept from the long way by a range in front.
+    """
+    one = re.compile(pattern)
+    plain = "".join(f"\\x{i:02x}" for i in range(128) if one.fullmatch(chr(i)))
+    out = F.regexp_replace(c, f"[{plain}]+", "") if plain else c
+    han = "" if any(one.fullmatch(chr(i)) for i in range(0x4E00, 0xA000)) else "\u4e00-\u9fff"
+    return F.regexp_replace(out, f"[[^\\x00-\\x7f{han}]&&{pattern}]+", "")
 
 
 def drop_noise(c: Column) -> Column:

@@ -62,6 +62,47 @@ def lookup(df: DataFrame, names: DataFrame, key: str, value: str, default: str)
     return df.join(names.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+def manifest(wanted: DataFrame, found: DataFrame, key: str, source: str, target: str, action: str) -> DataFrame:
+    """(key, source, target, action): a row for each wanted file; those that found lacks are `missing` and have no target."""
+    both = wanted.join(found.select(key).distinct().withColumn("__hit", F.lit(True)), key, "left")
+    hit = F.col("__hit").isNotNull()
+    return both.select(key, F.format_string(source, key).alias("source"), F.when(hit, F.format_string(target, key)).alias("target"), F.when(hit, action).otherwise("missing").alias("action"))
+
+
+def saved_images(downloads: DataFrame, path: str, kind: str, size: str, order: str, least: int = 256) -> DataFrame:
+    """Downloads that are kept: images of at least so many bytes, the first of each path."""
+    good = downloads.filter(F.lower(kind).startswith("image/") & (F.col(size) >= least))
+    rest = [x for x in good.columns if x not in (path, order)]
+    return good.groupBy(path).agg(F.min(order).alias(order), *[F.min_by(x, order).alias(x) for x in rest])
+
+
+def generated(df: DataFrame, prompt: str, make: Callable[[], Callable[[str], str]], name: str = "output") -> DataFrame:
+    """df with what a generator says to each prompt, stripped; an error or a null prompt gives ''.
+
+    make: makes the generator once for each task (a client or a model); it is called row by
+    row in Arrow batches. A column of that name is replaced.
+    """
+    rest = df.drop(name)
+    at = rest.columns.index(prompt)
+
+    def run(batches):
+        import pyarrow as pa
+
+        generator = make()
+
+        def one(x):
+            try:
+                return generator(x).strip() if x is not None else ""
+            except Exception:  # whatever goes wrong with one row, the others go on
+                return ""
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([one(x) for x in b.column(at).to_pylist()], pa.string())], [*b.schema.names, name])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
+    return rest.mapInArrow(run, f"{schema}, `{name}` string")
+
+
 def isolated(f: Callable[[str], str]):
     """A batched function (status, result) that turns an exception into the row's own ERROR status."""
     from pyspark.sql.functions import pandas_udf

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from html.entities import html5
 from html.parser import HTMLParser
 
 from pyspark.sql import Column
@@ -27,13 +28,31 @@ def attributes(c: Column, tag: str, name: str) -> Column:
     return F.regexp_extract_all(c, F.lit(rf'<{tag}\s[^>]*?{name}="([^"]*)"'), F.lit(1))
 
 
+def decoded(c: Column) -> Column:
+    """Character references as characters: all names of HTML that end in a semicolon, decimal and hexadecimal numbers; others stay as they are.
+
+    Each reference is decoded once, from left to right, so that `&amp;lt;` gives `&lt;`.
+    """
+    common = ["amp;", "lt;", "gt;", "quot;", "nbsp;"]  # a map is searched from its start
+    names = F.create_map(*[F.lit(x) for name in [*common, *(n for n in html5 if n not in common)] if name.endswith(";") for x in (name[:-1], html5[name])])
+
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        digits = F.regexp_extract(name, "^#[xX]?([0-9a-fA-F]+)$", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).when(name.startswith("#"), digits).try_cast("int")
+        good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        ch = F.when(good, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")).otherwise(F.when(code.isNotNull(), F.lit("\ufffd")))
+        found = F.coalesce(ch, F.try_element_at(names, name))
+        return F.when(found.isNotNull(), F.concat(found, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(c, "&")
+    return F.when(F.contains(c, F.lit("&")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))).otherwise(c)
+
+
 def visible_text(c: Column) -> Column:
     """Text outside of tags, scripts, styles and comments, on one line."""
     x = F.regexp_replace(c, r"(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", " ")
-    x = F.regexp_replace(x, "<[^>]*>", " ")
-    for name, ch in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " ")):
-        x = F.replace(x, F.lit(name), F.lit(ch))
-    return F.trim(F.regexp_replace(x, r"[ \t\r\n]+", " "))
+    return F.trim(F.regexp_replace(F.replace(decoded(F.regexp_replace(x, "<[^>]*>", " ")), F.lit("\u00a0"), F.lit(" ")), r"[ \t\r\n]+", " "))
 
 
 def json_array(c: Column, pattern: str = IMAGE_ARRAY) -> Column:
@@ -118,22 +137,19 @@ def register_udtfs() -> dict:
 
             found = []
 
-            def walk(x):
+            try:
+                document = json.loads(source)
+            except (TypeError, ValueError, RecursionError):
+                return
+            left = [document]
+            while left:
+                x = left.pop()
                 if isinstance(x, dict):
                     if isinstance(x.get("text"), str):
                         found.append(x["text"])
-                    for k, v in x.items():
-                        if k != "text" or not isinstance(v, str):
-                            walk(v)
+                    left += [v for k, v in x.items() if k != "text" or not isinstance(v, str)][::-1]
                 elif isinstance(x, list):
-                    for v in x:
-                        walk(v)
-
-            try:
-                document = json.loads(source)
-            except (TypeError, ValueError):
-                return
-            walk(document)
+                    left += x[::-1]
             for k, x in enumerate(found or [json.dumps(document, ensure_ascii=False)]):
                 yield k, x.replace("\n", "")
 

@@ -68,10 +68,20 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def vocabulary(df: DataFrame, key: str, column: str, skip: list[str]) -> DataFrame:
-    """(char, frequency, first): characters by document, counted before they are shuffled; first: smallest (key, position)."""
-    chars = df.select(F.col(key).alias("k"), F.posexplode(F.split(column, "")).alias("pos", "char")).filter((F.col("char") != "") & ~F.col("char").isin(*skip))
-    own = chars.groupBy("char", "k").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    return own.groupBy("char").agg(F.sum("n").alias("frequency"), F.min(F.struct("k", "pos")).alias("first"))
+    """(char, frequency, first): first is the smallest (key, position).
+
+    Counts and smallest keys are aggregated before the shuffle, a row for each character and
+    task; positions are then looked up in the documents that some character comes first in.
+    """
+
+    def chars(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(key).alias("k"), F.posexplode(F.split(column, "")).alias("pos", "char")).filter((F.col("char") != "") & ~F.col("char").isin(*skip))
+
+    counts = chars(df).groupBy("char").agg(F.count("*").alias("frequency"), F.min("k").alias("k"))
+    firsts = counts.select(F.col("k").alias("first_key")).distinct()
+    own = chars(df.join(firsts, df[key].eqNullSafe(F.col("first_key")), "left_semi")).groupBy("char", "k").agg(F.min("pos").alias("pos"))
+    at = own.select(F.col("char").alias("c"), F.col("k").alias("first_key"), "pos")
+    return counts.join(at, (F.col("char") == F.col("c")) & F.col("k").eqNullSafe(F.col("first_key"))).select("char", "frequency", F.struct("k", "pos").alias("first"))
 
 
 def top(df: DataFrame, order: list[Column], n: int, rank: str = "rank") -> DataFrame:

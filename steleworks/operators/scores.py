@@ -75,8 +75,10 @@ def edit_counts(truth: pd.Series, guess: pd.Series) -> pd.DataFrame:
 
 
 def softmax(v: Column) -> Column:
-    e = F.transform(v, lambda x: F.exp(x.cast("double") - F.array_max(v).cast("double")))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    """What is the same for all elements is an argument of zip_with, as within a lambda it would be computed for each of them."""
+    same = lambda x: F.array_repeat(x, F.size(v))
+    e = F.zip_with(v, same(F.array_max(v).cast("double")), lambda x, top: F.exp(x.cast("double") - top))
+    return F.zip_with(e, same(F.aggregate(e, F.lit(0.0), lambda a, y: a + y)), lambda x, total: x / total)
 
 
 def top_k(v: Column, k: int) -> Column:
@@ -124,13 +126,36 @@ def sizes(c: str) -> Column:
     return F.length(F.regexp_replace(c, r"\s", ""))
 
 
+def unit(v: Column) -> Column:
+    """The vector over its length."""
+    x = F.transform(v, lambda e: e.cast("double"))
+    return F.zip_with(x, F.array_repeat(F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e * e)), F.size(v)), lambda e, n: e / n)
+
+
 def greedy_match(a: Column, b: Column) -> Column:
-    """Mean over a's vectors of the largest cosine with a vector of b: one side of a greedy embedding match."""
+    """Mean over a's unit vectors of the largest cosine with one of b's: one side of a greedy embedding match."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    norm = lambda x: F.sqrt(dot(x, x))
-    best = F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: dot(x, y) / (norm(x) * norm(y)))))
+    best = F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: dot(x, y))))
     return F.aggregate(best, F.lit(0.0), lambda s, v: s + v) / F.size(a)
 
 
+def match_scores(pairs: DataFrame, guess: str, truth: str) -> DataFrame:
+    """pairs with precision, recall and f1 of the guess's token vectors (unit vectors) against the truth's; null where a side has none."""
+    both = pairs.withColumn("precision", F.when((F.size(guess) > 0) & (F.size(truth) > 0), greedy_match(F.col(guess), F.col(truth)))).withColumn("recall", F.when(F.col("precision").isNotNull(), greedy_match(F.col(truth), F.col(guess))))
+    p, r = F.col("precision"), F.col("recall")
+    return both.withColumn("f1", F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(p + r))
+
+
+def masked_metrics(rows: DataFrame, batch: str, label: str, logits: str) -> DataFrame:
+    """One row: loss, perplexity, tokens, correct1 and correct5 over rows with a label; each batch's mean loss counts by its tokens."""
+    own = F.get(F.col(logits), F.col(label))
+    total = F.aggregate(F.zip_with(logits, F.array_repeat(F.array_max(logits), F.size(logits)), lambda x, top: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
+    above = F.size(F.filter(F.zip_with(logits, F.array_repeat(own, F.size(logits)), lambda x, y: x > y), lambda x: x))
+    x = rows.filter(F.col(label).isNotNull()).select(batch, (F.log(total) + F.array_max(logits) - own).alias("loss"), above.alias("above"))
+    b = x.groupBy(batch).agg(F.avg("loss").alias("loss"), F.count("*").alias("n"), F.count_if(F.col("above") < 1).alias("c1"), F.count_if(F.col("above") < 5).alias("c5"))
+    mean = F.sum(F.col("loss") * F.col("n")) / F.sum("n")
+    return b.agg(mean.alias("loss"), F.exp(mean).alias("perplexity"), F.sum("n").alias("tokens"), F.sum("c1").alias("correct1"), F.sum("c5").alias("correct5"))
+
+
 def numbered(df: DataFrame, part: str, order: list[Column], name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(part).orderBy(*order)))

@@ -69,6 +69,29 @@ def file_semi(spark, d):
     return docs.join(listing, "doc_id", "left").agg(F.count_if("hit").alias("moved"), F.count_if(F.col("hit").isNull()).alias("missing"))
 
 
+@query(
+    """SELECT doc_id, 'raw/' || doc_id || '.txt' AS source, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'keep/' || doc_id || '.txt' END AS target,
+    CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'move' ELSE 'missing' END AS action FROM documents"""
+)
+def move_manifest(spark, d):
+    """What a file job copies or moves, row by row, and what it can't find."""
+    listing = table(spark, d, "labels").filter("quality = 1").select("doc_id").distinct()
+    return c.manifest(table(spark, d, "documents").select("doc_id"), listing, "doc_id", "raw/%s.txt", "keep/%s.txt", "move")
+
+
+_TYPE = "CASE event_type WHEN 'view' THEN 'image/png' WHEN 'click' THEN 'IMAGE/JPEG' ELSE 'text/html' END"
+
+
+@query(
+    f"""WITH x AS (SELECT event_id, 'img' || user_id || '.png' AS file_path, {_TYPE} AS type, CAST(floor(value * 20) AS BIGINT) AS file_size FROM events)
+    SELECT arg_min(event_id, event_id) AS id, file_path, arg_min(file_size, event_id) AS file_size FROM x WHERE lower(type) LIKE 'image/%' AND file_size >= 256 GROUP BY file_path"""
+)
+def image_rows(spark, d):
+    """Rows of saved images: the first download of each file that is an image of 256 bytes or more; later ones have been seen."""
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("img"), F.col("user_id"), F.lit(".png")).alias("file_path"), F.expr(_TYPE).alias("content_type"), F.floor(F.col("value") * 20).alias("file_size"))
+    return c.saved_images(rows, "file_path", "content_type", "file_size", "id").select("id", "file_path", "file_size")
+
+
 @query("SELECT doc_id, CASE quality WHEN 1 THEN 'good' WHEN 0 THEN 'bad' ELSE '?' END AS grade FROM documents LEFT JOIN labels USING (doc_id)")
 def lookup_default(spark, d):
     """A lookup with a default."""
@@ -84,11 +107,11 @@ def fk_fanout(spark, d):
     return table(spark, d, "orders").select("o_orderkey").join(child, "o_orderkey", "left").select("o_orderkey", zero("children").alias("children"), F.round(zero("quantity"), 2).alias("quantity"))
 
 
-@query("SELECT conv_id, turn, e.n AS entry_turns, substr(t.text, 1, 30) AS piece FROM conversations t JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) e USING (conv_id)")
+@query("SELECT conv_id, turn, e.n AS entry_turns, t.text AS piece FROM conversations t JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) e USING (conv_id)")
 def entry_fanout(spark, d):
     """Every child carries what its parent has."""
     rows = table(spark, d, "conversations")
-    return rows.join(rows.groupBy("conv_id").agg(F.count("*").alias("entry_turns")), "conv_id").select("conv_id", "turn", "entry_turns", F.substring("text", 1, 30).alias("piece"))
+    return rows.join(rows.groupBy("conv_id").agg(F.count("*").alias("entry_turns")), "conv_id").select("conv_id", "turn", "entry_turns", F.col("text").alias("piece"))
 
 
 @query("SELECT (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS orphans, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) AS left_over")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators.catalog import generated
 from ..operators.cleaning import clean_corpus as clean_operator
 from ..operators.cleaning import counts
 from .base import query, table, values
@@ -148,19 +149,34 @@ def derived_keys(spark, d):
 
 
 @query(
-    """SELECT doc_id, coalesce(nullif(concat_ws(chr(10), nullif(a, ''), nullif(b, '')), ''), '[EMPTY]') AS body, split_part(text, ' ', 1) AS first_word, replace(substr(text, 1, 50), ' ', '') AS tight
-    FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(text, 1, 20) END AS a, CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END AS b FROM documents)"""
+    """SELECT doc_id, coalesce(nullif(concat_ws(chr(10), nullif(a, ''), nullif(b, '')), ''), '[EMPTY]') AS body, split_part(text, ' ', 1) AS first_word, replace(text, ' ', '') AS tight
+    FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS a, CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END AS b FROM documents)"""
 )
 def join_parts(spark, d):
     """Non-empty parts as lines with a sentinel; first token; without spaces."""
-    rows = table(spark, d, "documents").selectExpr("doc_id", "text", "CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(text, 1, 20) END AS a", "CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END AS b")
-    return rows.select("doc_id", t.joined_lines(F.col("a"), F.col("b")).alias("body"), F.split_part("text", F.lit(" "), F.lit(1)).alias("first_word"), F.replace(F.substring("text", 1, 50), F.lit(" "), F.lit("")).alias("tight"))
+    rows = table(spark, d, "documents").selectExpr("doc_id", "text", "CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS a", "CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END AS b")
+    return rows.select("doc_id", t.joined_lines(F.col("a"), F.col("b")).alias("body"), F.split_part("text", F.lit(" "), F.lit(1)).alias("first_word"), F.replace("text", F.lit(" "), F.lit("")).alias("tight"))
 
 
-@query("SELECT doc_id, '<example>' || chr(10) || '<new_translation>' || chr(10) || '<input>' || substr(text, 1, 200) || '</input>' || chr(10) || '<output>' AS prompt FROM documents WHERE trim(text) <> ''")
+@query("SELECT doc_id, '<example>' || chr(10) || '<new_translation>' || chr(10) || '<input>' || text || '</input>' || chr(10) || '<output>' AS prompt FROM documents WHERE trim(text) <> ''")
 def prompt_assembly(spark, d):
     """Prompts around non-blank texts; a generator is plugged in after this."""
-    return table(spark, d, "documents").filter(F.trim("text") != "").select("doc_id", F.concat(F.lit("<example>\n<new_translation>\n<input>"), F.substring("text", 1, 200), F.lit("</input>\n<output>")).alias("prompt"))
+    return table(spark, d, "documents").filter(F.trim("text") != "").select("doc_id", F.concat(F.lit("<example>\n<new_translation>\n<input>"), F.col("text"), F.lit("</input>\n<output>")).alias("prompt"))
+
+
+def _echo():
+    def generate(prompt: str) -> str:
+        if "@" in prompt:
+            raise ValueError("the stand-in refuses addresses")
+        return f"[최종 번역]: {prompt}"
+
+    return generate
+
+
+@query("SELECT conv_id, turn, CASE WHEN text IS NULL OR contains(text, '@') THEN '' ELSE trim('[최종 번역]: ' || text) END AS output FROM conversations")
+def generated_rows(spark, d):
+    """A generator as a source of rows, '' where it fails; the stand-in gives its prompt back and refuses some."""
+    return generated(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text", _echo).select("conv_id", "turn", "output")
 
 
 @query("SELECT doc_id, CAST(list_slice(string_split(text, ''), 1, 126) AS VARCHAR[]) AS tokens FROM documents")

@@ -25,7 +25,7 @@ def page_links(spark, d):
 
 
 _VISIBLE = "regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-for _a, _b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " ")):
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _VISIBLE = f"replace({_VISIBLE}, '{_a}', '{_b}')"
 
 
@@ -35,6 +35,36 @@ def page_text(spark, d):
     return table(spark, d, "pages").select("page_id", h.visible_text(F.col("html")).alias("body"))
 
 
+_REFERENCES = [("a &amp;lt; b", "a &lt; b"), ("caf&eacute; &#39;x&#x27;", "café 'x'"), ("&unknown; & &amp", "&unknown; & &amp"), ("&#128512;&NotEqualTilde;&#0;", "😀≂̸\ufffd"), ("&&gt;;", "&>;"), ("plain", "plain"), ("", "")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in _REFERENCES) + ") AS v(s, plain)")
+def char_references(spark, d):
+    """Character references of every kind, each decoded once."""
+    return values(spark, "s string", [(a,) for a, _ in _REFERENCES]).select("s", h.decoded(F.col("s")).alias("plain"))
+
+
+_ITEMS = """SELECT CAST(page_id + 1 AS INTEGER) AS page, CAST(i AS INTEGER) AS ordinal, links[i + 1] AS item FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS links FROM pages WHERE page_id % 17 <> 5 AND page_id < 150), LATERAL (SELECT unnest(range(0, len(links))) AS i)"""
+
+
+@query(f"WITH x AS ({_ITEMS}), f AS (SELECT page + 1 AS page FROM (SELECT page FROM x UNION SELECT CAST(page_id + 1 AS INTEGER) FROM pages WHERE page_id % 17 = 5 UNION SELECT 0) WHERE page + 1 NOT IN (SELECT page FROM x UNION SELECT CAST(page_id + 1 AS INTEGER) FROM pages WHERE page_id % 17 = 5)) SELECT item, arg_min(page, page * 100000 + ordinal) AS page, arg_min(ordinal, page * 100000 + ordinal) AS ordinal FROM x WHERE page < (SELECT min(page) FROM f) GROUP BY item")
+def list_until_empty(spark, d):
+    """Items of a list in pages up to the first page without any; pages with an error (every 17th here) are passed over, and so end nothing."""
+    from ..sources.paged import until_empty
+
+    bad, page = F.col("page_id") % 17 == 5, (F.col("page_id") + 1).cast("int").alias("page")
+    rows = table(spark, d, "pages").select("page_id", page, F.when(bad, "HTTPError").alias("error"), F.when(~bad & (F.col("page_id") < 150), h.attributes(F.col("html"), "a", "href")).otherwise(F.array().cast("array<string>")).alias("items"))
+    return until_empty(rows.select("page", "error", F.posexplode_outer("items").alias("ordinal", "item")))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) <> '' AS has_title, CASE WHEN page_id % 4 = 1 THEN NULL ELSE length(html) END AS tab_chars, CASE WHEN page_id % 4 = 1 THEN 'HTTPError' END AS error FROM pages")
+def detail_pages(spark, d):
+    """An item's main page and its text tab, two requests by one id; an item whose tab fails keeps its error and stops no other."""
+    main = table(spark, d, "pages").select("page_id", "html")
+    tab = main.select("page_id", F.when(F.col("page_id") % 4 != 1, F.col("html")).alias("tab"))
+    return main.join(tab, "page_id").select("page_id", t.first_group(F.col("html"), "(?s)<title>(.*?)</title>").isNotNull().alias("has_title"), F.length("tab").cast("long").alias("tab_chars"), F.when(F.col("tab").isNull(), "HTTPError").alias("error"))
+
+
 @query("SELECT page_id, regexp_extract(html, 'track\\((\\d+)\\)', 1) AS id, split_part(split_part(url, '/', 3), ':', 1) AS host, CAST(try_cast(regexp_extract(url, 'page=(\\d+)', 1) AS INTEGER) AS INTEGER) AS page FROM pages")
 def script_ids(spark, d):
     """Ids in handlers and scripts, page numbers."""

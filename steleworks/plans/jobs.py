@@ -20,25 +20,25 @@ def column_contract(spark, d):
 
 @query("SELECT lang, string_agg(doc_id, '' ORDER BY doc_id) AS joined FROM documents GROUP BY lang")
 def joined_column(spark, d):
-    """a column as one text, in order of the key, by group."""
+    """a column as one text, in order of the key, by group; a group's text is one value, so it has to fit in one task, as in the job itself."""
     g = table(spark, d, "documents").groupBy("lang").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
     return g.select("lang", F.array_join(F.transform("ids", lambda x: x.cast("string")), "").alias("joined"))
 
 
-_REPLY = "CASE WHEN item_id % 3 = 0 THEN 'x' || chr(10) || '[최종 번역]: ' || substr(text, 1, 80) || chr(10) || 'y' ELSE '[최종 번역] ' || substr(text, 6, 80) END"
+_REPLY = "CASE WHEN item_id % 3 = 0 THEN 'x' || chr(10) || '[최종 번역]: ' || text || chr(10) || 'y' ELSE '[최종 번역] ' || substr(text, 6) END"
 
 
 @query(
-    f"""WITH s AS (SELECT item_id, substr(text, 1, 80) AS ref, {_REPLY} AS reply FROM benchmark WHERE trim(text) <> '' ORDER BY md5(CAST(item_id AS VARCHAR)) LIMIT 20),
+    f"""WITH s AS (SELECT item_id, text AS ref, {_REPLY} AS reply FROM benchmark WHERE trim(text) <> ''),
     p AS (SELECT item_id, string_split(regexp_replace(ref, '\\s', '', 'g'), '') AS r, string_split(regexp_replace(CASE WHEN contains(reply, '[최종 번역]:') THEN split_part(trim(split_part(reply, '[최종 번역]:', 2)), chr(10), 1) ELSE split_part(trim(split_part(reply, '[최종 번역]', 2)), chr(10), 1) END, '\\s', '', 'g'), '') AS h FROM s),
     g AS (SELECT item_id, unnest(h) AS gram, 'h' AS side FROM p UNION ALL SELECT item_id, unnest(r), 'r' FROM p),
     c AS (SELECT item_id, gram, count(*) FILTER (WHERE side = 'h') AS a, count(*) FILTER (WHERE side = 'r') AS b FROM g GROUP BY ALL)
     SELECT item_id, round(sum(least(a, b)) / min(len(h)), 6) AS precision, CAST(min(len(h)) AS INTEGER) AS hyp_size FROM c JOIN p USING (item_id) GROUP BY item_id"""
 )
 def translation_job(spark, d):
-    """Sample, source filter, generated output (a stand-in for the model), final translation, character precision."""
-    rows = table(spark, d, "benchmark").filter(F.trim("text") != "").orderBy(F.md5(F.col("item_id").cast("string").cast("binary"))).limit(20)
-    made = rows.selectExpr("item_id", "substr(text, 1, 80) AS ref", f"{_REPLY.replace('chr(10)', 'char(10)')} AS reply").withColumn("hyp", t.final_translation(F.col("reply")))
+    """Source filter, generated output (a stand-in for the model) of every row, final translation, character precision; seeded_sample is the job's sample."""
+    rows = table(spark, d, "benchmark").filter(F.trim("text") != "")
+    made = rows.selectExpr("item_id", "text AS ref", f"{_REPLY.replace('chr(10)', 'char(10)')} AS reply").withColumn("hyp", t.final_translation(F.col("reply")))
     one = ngram_matches(made, ["item_id"], "hyp", "ref", 1)
     return one.join(made.select("item_id", sizes("hyp").alias("hyp_size")), "item_id").select("item_id", F.round(F.col("matched") / F.col("guessed"), 6).alias("precision"), "hyp_size")
 

@@ -8,8 +8,8 @@ from ..functions import text as t
 from ..operators import scores as s
 from .base import query, table, values
 
-_GUESS = "replace(substr(text, 1, 200), 'th', 'ht') || 'x'"
-_TRUTH = "substr(text, 1, 200)"
+_GUESS = "replace(text, 'th', 'ht') || 'x'"
+_TRUTH = "text"
 
 
 def _pairs(spark, d):
@@ -135,18 +135,40 @@ def bleu_sentence(spark, d):
     return m.withColumn("zeros", zeros).join(size, "item_id").groupBy("item_id").agg(F.round(100 * F.exp(F.avg(F.log(p))) * F.min(penalty), 6).alias("bleu"))
 
 
+_MATCH = """WITH u AS (SELECT vec_id // 8 AS sentence, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS u FROM embeddings),
+    c AS (SELECT x.sentence, x.vec_id AS a, y.vec_id AS b, list_inner_product(x.u, y.u) AS s FROM u x JOIN u y ON y.sentence = x.sentence + 1),
+    p AS (SELECT sentence, avg(best) AS precision FROM (SELECT sentence, a, max(s) AS best FROM c GROUP BY ALL) GROUP BY sentence), r AS (SELECT sentence, avg(best) AS recall FROM (SELECT sentence, b, max(s) AS best FROM c GROUP BY ALL) GROUP BY sentence)"""
+
+
+def _matched(spark, d):
+    u = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("sentence"), s.unit(F.col("embedding")).alias("u"))
+    guess = u.groupBy("sentence").agg(F.collect_list("u").alias("guess"))
+    truth = guess.select((F.col("sentence") - 1).alias("sentence"), F.col("guess").alias("truth"))
+    return s.match_scores(guess.join(truth, "sentence"), "guess", "truth")
+
+
+@query(_MATCH + "SELECT sentence, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM p JOIN r USING (sentence)")
+def embedding_match(spark, d):
+    """precision, recall and F1 of each pair of sentences by greedy matching of their tokens' vectors; any encoder's vectors can be put in. A sentence is eight vectors, its reference the next one."""
+    return _matched(spark, d).select("sentence", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(_MATCH + "SELECT 'vectors' AS model, round(avg(precision), 6) AS precision_mean, round(avg(recall), 6) AS recall_mean, round(avg(2 * precision * recall / (precision + recall)), 6) AS f1_mean, count(*) AS pairs FROM p JOIN r USING (sentence)")
+def embedding_match_summary(spark, d):
+    """means by model over the valid pairs."""
+    return _matched(spark, d).groupBy(F.lit("vectors").alias("model")).agg(*[F.round(F.avg(c), 6).alias(f"{c}_mean") for c in ("precision", "recall", "f1")], F.count("*").alias("pairs"))
+
+
 @query(
-    """WITH a AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT label, vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM a),
-    s AS (SELECT x.label, x.vec_id, max(list_inner_product(x.u, y.u)) AS best FROM n x JOIN n y ON x.label = y.label AND x.vec_id <> y.vec_id GROUP BY ALL) SELECT label, round(avg(best), 6) AS precision FROM s GROUP BY label"""
+    """WITH m AS (SELECT vec_id // 4 AS batch, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id % 3 = 0 AND vec_id // 4 % 5 <> 0),
+    x AS (SELECT batch, ln(list_sum(list_transform(e, lambda y: exp(y)))) - e[label + 1] AS loss, len(list_filter(e, lambda y: y > e[label + 1])) AS above FROM m),
+    b AS (SELECT batch, avg(loss) AS loss, count(*) AS n, count(*) FILTER (WHERE above < 1) AS c1, count(*) FILTER (WHERE above < 5) AS c5 FROM x GROUP BY batch)
+    SELECT round(sum(loss * n) / sum(n), 6) AS loss, round(exp(sum(loss * n) / sum(n)), 6) AS perplexity, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(c1) AS BIGINT) AS correct1, CAST(sum(c5) AS BIGINT) AS correct5 FROM b"""
 )
-def embedding_match(spark, d):
-    """greedy largest-cosine matching of token vectors; any encoder's vectors can be put in."""
-    e = table(spark, d, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    e = e.withColumn("u", F.transform("v", lambda x: x / F.sqrt(dot("v", "v"))))
-    other = e.select("label", F.col("vec_id").alias("other"), F.col("u").alias("w"))
-    best = e.join(other, "label").filter("vec_id <> other").groupBy("label", "vec_id").agg(F.max(dot("u", "w")).alias("best"))
-    return best.groupBy("label").agg(F.round(F.avg("best"), 6).alias("precision"))
+def mlm_evaluation(spark, d):
+    """Loss, perplexity and tokens right at 1 and at 5 over masked positions; other positions and batches without a mask have no part. Vectors stand for a model's logits."""
+    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("batch"), F.when((F.col("vec_id") % 3 == 0) & (F.floor(F.col("vec_id") / 4) % 5 != 0), F.col("label")).alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
+    return s.masked_metrics(rows, "batch", "label", "logits").select(*[F.round(c, 6).alias(c) for c in ("loss", "perplexity")], "tokens", "correct1", "correct5")
 
 
 @query("SELECT CASE WHEN b < 205 THEN 'train' WHEN b < 230 THEN 'validation' ELSE 'test' END AS split, count(*) AS n FROM (SELECT ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 2))::INTEGER AS b FROM documents) GROUP BY 1")

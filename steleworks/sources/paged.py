@@ -4,7 +4,7 @@
     spark.read.format("paged_list").option("template", "file:///lists/{page}.html").option("pages", 55).load()
 
 A page that can't be read has a row with its error instead of items, so that one
-broken page doesn't stop the others.
+broken page doesn't stop the others; a page without items has a row without either.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import urllib.request
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Fixed value: what an item of a list page looks like; its id is the first group.
-ITEM = r"""fn_view\(['"]([^'"]+)['"]\)"""
+ITEM = r"""fnSearchDetailClick\('(.+?)'\)"""
 
 
 class Page(InputPartition):
@@ -40,8 +40,11 @@ class PagedReader(DataSourceReader):
         except (OSError, ValueError) as e:
             yield (partition.number, None, None, type(e).__name__)
             return
-        for k, item in enumerate(re.findall(self.pattern, source)):
+        items = re.findall(self.pattern, source)
+        for k, item in enumerate(items):
             yield (partition.number, k, item, None)
+        if not items:
+            yield (partition.number, None, None, None)
 
 
 class PagedList(DataSource):
@@ -57,11 +60,15 @@ class PagedList(DataSource):
 
 
 def until_empty(rows):
-    """The items of the pages before the first one that has none, each id once."""
+    """The items of the pages before the first one, from 1 on, that has neither items nor an error; each id once, where it comes first.
+
+    A page with an error is passed over: it has no items and ends nothing.
+    """
     from pyspark.sql import functions as F
 
     full = rows.filter("item IS NOT NULL")
-    pages = full.select("page").distinct()
-    gap = pages.select((F.col("page") + 1).alias("page")).join(pages, "page", "left_anti").agg(F.min("page").alias("stop"))
-    kept = full.crossJoin(F.broadcast(gap)).filter("page < stop")
+    passed = rows.filter("item IS NOT NULL OR error IS NOT NULL").select("page").distinct()
+    first = rows.sparkSession.range(1).select(F.lit(1).cast("int").alias("page"))
+    stop = first.unionByName(passed.select((F.col("page") + 1).cast("int").alias("page"))).join(passed, "page", "left_anti").filter("page >= 1").agg(F.min("page").alias("stop"))
+    kept = full.crossJoin(F.broadcast(stop)).filter("page >= 1 AND page < stop")
     return kept.groupBy("item").agg(F.min(F.struct("page", "ordinal")).alias("at")).select("item", "at.page", "at.ordinal")

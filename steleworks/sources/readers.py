@@ -42,8 +42,10 @@ def ids(spark: SparkSession, path: str) -> DataFrame:
 
 def status_log(spark: SparkSession, path: str) -> DataFrame:
     """(filename, status) of a log of two columns, split at the first comma; of several lines of a file the last wins."""
-    raw = guarded(spark, lambda: spark.read.text(path, wholetext=True), "value string")
-    rows = raw.select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).filter((F.trim("line") != "") & F.contains("line", F.lit(",")))
+    # Lines are in order by file, block and place in the block, so that a large log is read in parts.
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    raw = guarded(spark, lambda: spark.read.text(path).select(place.alias("n"), F.col("value").alias("line")), "n struct<path:string,block:long,line:long>, line string")
+    rows = raw.filter((F.trim("line") != "") & F.contains("line", F.lit(",")))
     parts = rows.select("n", F.split("line", ",", 2).alias("p")).select("n", F.trim(F.col("p")[0]).alias("filename"), F.trim(F.col("p")[1]).alias("status"))
     return parts.filter("filename <> 'filename'").groupBy("filename").agg(F.max_by("status", "n").alias("status"))
 
@@ -83,8 +85,8 @@ def images(spark: SparkSession, path: str, glob: str = "*.{png,jpg}", least: int
     return rows.filter((head == "89504E47") | head.startswith("FFD8FF")).orderBy("path")
 
 
-def shards(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """(path, row, label, pixels) of NPZ shards `images`, `labels`; a broken shard has no rows."""
+def shards(spark: SparkSession, path: str, most: int | None = None, seed: int = 42) -> DataFrame:
+    """(path, row, label, pixels) of NPZ shards; one that is broken or lacks `images` or `labels` has no rows. most: so many rows, drawn by a seeded hash."""
 
     def run(batches):
         for b in batches:
@@ -100,7 +102,7 @@ def shards(spark: SparkSession, path: str, most: int | None = None) -> DataFrame
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
     out = raw.mapInArrow(run, "path string, row long, label long, pixels array<int>")
-    return out.limit(most) if most else out
+    return out.orderBy(F.xxhash64("path", "row", F.lit(seed)), "path", "row").limit(most) if most else out
 
 
 def listing(spark: SparkSession, path: str, ignored: tuple[str, ...] = (".git", "__pycache__")) -> DataFrame:
@@ -110,6 +112,35 @@ def listing(spark: SparkSession, path: str, ignored: tuple[str, ...] = (".git",
     return rows.select("path", (F.size(F.split("path", "/")) - 1).alias("depth"), "size").orderBy("path")
 
 
+def tree(spark: SparkSession, path: str, ignored: tuple[str, ...] = (".git", "__pycache__")) -> DataFrame:
+    """(path, depth, folder) of everything below a folder, as a tree is printed: within a folder, folders first, then by name."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+    parts = listing(spark, path, ignored).select(F.split(F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), "^" + root.replace("file:///", "file:/") + "/", ""), "/").alias("p"))
+    every = parts.select("p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("depth")).select(F.slice("p", F.lit(1), F.col("depth")).alias("p"), "depth", (F.col("depth") < F.size("p")).alias("folder")).distinct()
+    # A step that leads to a folder sorts before one that is a file.
+    key = F.transform("p", lambda x, i: F.struct(((i + 1 == F.size("p")) & ~F.col("folder")).alias("file"), x.alias("name")))
+    return every.orderBy(key).select(F.array_join("p", "/").alias("path"), "depth", "folder")
+
+
+PAGES = "pages array<struct<blocks:array<struct<type:int,bbox:array<double>,lines:array<struct<spans:array<struct<text:string,bbox:array<double>,size:double>>>>>>>>"
+
+
+def paged_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page, block, kind, text, bbox, size, error) of a folder of documents, whose pages are given as JSON.
+
+    Blocks of type 0 give a `text` row for each span that isn't blank, blocks of type 1 an
+    `image` row. A document that can't be read has one row with its error, and the others go on.
+    """
+    docs = whole_texts(spark, path).select("path", F.from_json("value", PAGES).alias("d"))
+    bad = docs.filter("d.pages IS NULL").select("path", F.lit("ValueError").alias("error"))
+    b = docs.select("path", F.posexplode("d.pages").alias("page", "p")).select("path", "page", F.posexplode("p.blocks").alias("block", "b"))
+    at = ["path", "page", "block"]
+    spans = b.filter("b.type = 0").select(*at, F.explode("b.lines").alias("l")).select(*at, F.explode("l.spans").alias("s")).filter(F.trim("s.text") != "")
+    texts = spans.select(*at, F.lit("text").alias("kind"), F.trim("s.text").alias("text"), "s.bbox", "s.size")
+    return texts.unionByName(b.filter("b.type = 1").select(*at, F.lit("image").alias("kind"), "b.bbox"), allowMissingColumns=True).unionByName(bad, allowMissingColumns=True)
+
+
 def dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """A Parquet data set, split by folders split=…; one of its splits reads that folder only."""
     df = spark.read.parquet(path)

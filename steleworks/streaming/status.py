@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="steleworks-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="steleworks-")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -38,6 +42,7 @@ def run_status(spark: SparkSession, path: str, folder: str | None = None, key: s
     def each(batch: DataFrame, number: int) -> None:
         old = spark.read.parquet(f"{folder}/table/{number - 1}") if number else None
         merge(old, batch, key, value, list(order)).write.mode("overwrite").parquet(f"{folder}/table/{number}")
+        _forget(spark, f"{folder}/table/{number - 2}")  # a batch that is run again needs the one before
         done.append(number)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", wanted).parquet(source)
@@ -46,6 +51,11 @@ def run_status(spark: SparkSession, path: str, folder: str | None = None, key: s
     return spark.read.parquet(f"{folder}/table/{last}").select(key, F.col(f"last.{value}").alias(value), "n")
 
 
+def _forget(spark: SparkSession, folder: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _last(spark: SparkSession, folder: str) -> int:
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)

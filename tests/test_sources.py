@@ -84,8 +84,64 @@ def test_paged_list(spark, tmp_path):
     from steleworks.sources.paged import PagedList, until_empty
 
     for page, ids in {1: "ab", 2: "bc", 3: "", 4: "z"}.items():
-        (tmp_path / f"{page}.html").write_text("".join(f"<a onclick=\"fn_view('{i}')\">" for i in ids))
+        (tmp_path / f"{page}.html").write_text("".join(f"<a onclick=\"fnSearchDetailClick('{i}')\">" for i in ids))
     spark.dataSource.register(PagedList)
     rows = spark.read.format("paged_list").option("template", f"file://{tmp_path}/{{page}}.html").option("pages", "5").load()
-    assert {(r["page"], r["item"], r["error"]) for r in rows.collect()} == {(1, "a", None), (1, "b", None), (2, "b", None), (2, "c", None), (4, "z", None), (5, None, "URLError")}
+    assert {(r["page"], r["item"], r["error"]) for r in rows.collect()} == {(1, "a", None), (1, "b", None), (2, "b", None), (2, "c", None), (3, None, None), (4, "z", None), (5, None, "URLError")}
     assert sorted(r["item"] for r in until_empty(rows).collect()) == ["a", "b", "c"]
+
+
+def test_until_empty_stops_at_the_first_empty_page_and_passes_errors(spark):
+    from steleworks.sources.paged import until_empty
+
+    schema = "page int, ordinal int, item string, error string"
+    some = lambda *rows: sorted(r["item"] for r in until_empty(spark.createDataFrame(list(rows), schema)).collect())
+    assert some((1, None, None, None), (2, 0, "b", None), (3, 0, "c", None)) == []
+    assert some((1, 0, "a", None), (2, None, None, "URLError"), (3, 0, "c", None), (4, None, None, None), (5, 0, "e", None)) == ["a", "c"]
+    assert some((1, None, None, "URLError"), (2, 0, "b", None)) == ["b"]
+    assert some() == []
+
+
+def test_tree_and_paged_documents(spark, tmp_path):
+    for name in ("b.txt", "a/z.txt", "a/c/y.txt", ".git/x", "d.txt"):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text("x")
+    assert [r["path"] for r in readers.tree(spark, str(tmp_path / "t")).collect()] == ["a", "a/c", "a/c/y.txt", "a/z.txt", "b.txt", "d.txt"]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "1.json").write_text('{"pages": [{"blocks": [{"type": 0, "lines": [{"spans": [{"text": " a ", "bbox": [0, 0, 1, 1], "size": 9}, {"text": " "}]}]}, {"type": 1, "bbox": [1, 2, 3, 4]}]}]}')
+    (tmp_path / "p" / "2.json").write_text("broken")
+    got = {(r["path"][-6:], r["kind"], r["text"], r["error"]) for r in readers.paged_documents(spark, str(tmp_path / "p")).collect()}
+    assert got == {("1.json", "text", "a", None), ("1.json", "image", None, None), ("2.json", None, None, "ValueError")}
+
+
+def test_status_log_in_blocks(spark, tmp_path):
+    (tmp_path / "log.csv").write_text("".join(f"f{i % 7}.png,S{i}\n" for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = {r["filename"]: r["status"] for r in readers.status_log(spark, f"{tmp_path}/log.csv").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {f"f{i % 7}.png": f"S{i}" for i in range(4993, 5000)}
+
+
+def test_steps_are_isolated():
+    from steleworks.plans.runner import run_steps
+
+    calls, waits = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+
+    got = run_steps({"a": lambda: 1 / 0, "b": flaky, "c": lambda: None}, ["a", "b"], attempts=3, wait=0.5, sleep=waits.append)
+    assert got == {"a": "ERROR:ZeroDivisionError", "b": "ok", "c": "skipped"} and waits == [0.5, 1.0, 0.5, 1.0]
+
+
+def test_json_texts_of_deep_documents(spark):
+    from steleworks.operators.html import register_udtfs
+
+    spark.udtf.register("json_texts", register_udtfs()["JsonTexts"])
+    deep = "[" * 900 + '{"b": [{"text": "y"}], "text": "x", "a": {"text": "z"}}' + "]" * 900
+    assert [r["text"] for r in spark.sql("SELECT h.text FROM (SELECT '" + deep + "' AS j), LATERAL json_texts(j) AS h ORDER BY h.ordinal").collect()] == ["x", "y", "z"]
