@@ -21,10 +21,12 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
     Where the setting is absent, as in local tests, a temporary folder is chosen
-    once for the session and stored in its configuration.
+    once for the session and stored in its configuration; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("steleworks.scratch.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="steleworks-")
         spark.conf.set("steleworks.scratch.dir", found)
     return found
@@ -76,5 +78,15 @@ def by_bytes(batch: pa.RecordBatch, column: int, most: int = TEXT) -> Iterator[p
         start = end
 
 
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no taken one needs."""
+    low, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

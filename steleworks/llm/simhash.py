@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism, release, slices, table
+from .common import cut, release, slices, table, unused
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -56,14 +56,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit number."""
+    """(doc_id, fp, text_hash): fp is the fingerprint as a signed 64-bit number."""
 
     def run(batches):
         for b in slices(batches, 1024):
             got = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got), b.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def spanning_edges(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -82,35 +83,25 @@ def spanning_edges(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int
     return out
 
 
-def _links(keyed: DataFrame, last: bool, limit: int) -> DataFrame:
-    """(u, v, mask): links found in the buckets of keyed (fp, mask, key); for members of a
-    bucket that is too large, u is the member, v null and mask the bits that they share."""
-
-    def of_bucket(mask, members):
-        if len(members) > limit and not last:
-            return [(x, None, mask) for x in members.view(np.int64).tolist()]
-        edges = np.array(spanning_edges(members), np.uint64).reshape(-1, 2).view(np.int64).tolist()
-        return [(u, v, mask) for u, v in edges]
+def _links(small: DataFrame) -> DataFrame:
+    """(u, v): links found in the buckets of small (fp, mask, key), which have at most BUCKET members each."""
 
     def run(batches):
-        def out(rows):
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v", "mask"])
+        def out(edges):
+            return pa.RecordBatch.from_arrays(list(np.concatenate(edges).view(np.int64).T), ["u", "v"])
 
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush(parts):
             fp, mask, key = (np.concatenate([p[i] for p in parts]) for i in range(3))
             starts = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))
-            sizes = np.diff(np.append(starts, len(fp)))
-            rows = []
+            sizes, found = np.diff(np.append(starts, len(fp))), []
             for k in np.flatnonzero(sizes > 1).tolist():
-                rows += of_bucket(int(mask[starts[k]]), fp[starts[k] : starts[k] + sizes[k]].view(np.uint64))
-                if len(rows) > 50_000:
-                    yield out(rows)
-                    rows = []
-            if rows:
-                yield out(rows)
+                edges = spanning_edges(fp[starts[k] : starts[k] + sizes[k]].view(np.uint64))
+                if edges:
+                    found.append(np.array(edges, np.uint64))
+            if found:
+                yield out(found)
 
         for b in batches:
             if not b.num_rows:
@@ -128,33 +119,40 @@ def _links(keyed: DataFrame, last: bool, limit: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    n = parallelism(keyed.sparkSession)
-    return keyed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(run, "u long, v long, mask long")
+    return small.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(run, "u long, v long")
 
 
 def link_edges(distinct: DataFrame, limit: int = BUCKET) -> DataFrame:
     """(u, v) that connect all distinct fingerprints fp exactly as the links within the radius do.
 
-    A bucket gives a spanning forest of its links, not its pairs. Buckets above the
-    limit are covered again by another family of masks over the bits not yet shared:
-    any pair within the radius also collides there, so nothing is lost.
+    A bucket gives a spanning forest of its links, not its pairs. Buckets are counted first,
+    with partial counts before the shuffle; a bucket above the limit is never gathered: its
+    members are told by a join with its key and covered again by another family of masks,
+    over the bits that they don't share yet. Any pair within the radius also collides there,
+    so nothing is lost. At the last level the members of a bucket agree in all but a few
+    bits, and their number is bounded by these.
     """
     found, keyed = None, distinct.select("fp", F.lit(0).cast("long").alias("mask"))
     for level in range(LEVELS):
         masks = [int(np.uint64(m).view(np.int64)) for m in covering_masks(level)]
         grown = keyed.select("fp", F.explode(F.array(*[F.col("mask").bitwiseOR(F.lit(m)) for m in masks])).alias("mask"))
-        grown = grown.distinct() if level else grown
-        got = cut(_links(grown.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).select("fp", "mask", "key"), level == LEVELS - 1, limit))
-        edges = got.filter("v IS NOT NULL").select("u", "v")
+        grown = (grown.distinct() if level else grown).withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).select("fp", "mask", "key")
+        large = None
+        if level < LEVELS - 1:
+            large = cut(grown.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("mask", "key"))
+            if large.isEmpty():
+                release(large)
+                large = None
+        edges = cut(_links(grown if large is None else grown.join(large, ["mask", "key"], "left_anti").select("fp", "mask", "key")))
         found = edges if found is None else found.unionByName(edges)
-        keyed = got.filter("v IS NULL").select(F.col("u").alias("fp"), "mask")
-        if keyed.isEmpty():
+        if large is None:
             break
+        keyed = cut(grown.join(large, ["mask", "key"], "left_semi").select("fp", "mask"))
     return found
 
 
-def groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for each document.
+def groups(docs: DataFrame, width: int = SHINGLE, texts: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id) for each document; texts: (doc_id, text_hash, component, component_id), component a group's smallest fingerprint.
 
     component_id is the smallest doc_id reachable over links of RADIUS bits or fewer.
     Null and empty texts have no word, so fingerprint 0, and are linked like any
@@ -165,9 +163,10 @@ def groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     nodes = components(link_edges(first.select("fp")))
     linked = nodes.join(first, nodes["node"] == first["fp"]).select("fp", "component", "first")
-    named = linked.join(linked.groupBy("component").agg(F.min("first").alias("smallest")), "component").select("fp", "smallest")
-    named = cut(first.join(named, "fp", "left").select("fp", F.least("smallest", "first").alias("component_id")))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(linked.groupBy("component").agg(F.min("first").alias("smallest")), "component").select("fp", "component", "smallest")
+    named = cut(first.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.least("smallest", "first").alias("component_id")))
+    both = prints.join(named, "fp")
+    return both.select("doc_id", "text_hash", "component", "component_id") if texts else both.select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
@@ -176,11 +175,18 @@ def op5_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: keeps, of each group, the document with the smallest doc_id, once.
+    """Pipeline stage: keeps, of each group, the document with the smallest doc_id.
 
-    Rows without a doc_id can't be told apart; they stay as they are and take part in no group.
+    Rows that share their doc_id and have different texts are different documents of one
+    group if their texts are near, so one of them stays, that with the smallest hash of its
+    text; if they aren't, each stays. Rows that repeat altogether stay once. Rows without a
+    doc_id can't be told apart; they stay as they are and take part in no group. Other
+    columns are kept, whatever their names.
     """
     named = docs.filter("doc_id IS NOT NULL")
-    keep = groups(named).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    id_, hash_, group = unused(docs.columns, "id_", "hash_", "group_")
+    found = groups(named, texts=True).filter("doc_id = component_id").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("component").alias(group))
+    keep = found.groupBy(id_, group).agg(F.min(hash_).alias(hash_)).select(id_, hash_)
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = named.join(keep, (F.col("doc_id") == F.col(id_)) & (own == F.col(hash_)), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
