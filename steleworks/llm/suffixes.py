@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism, release, slices, table
+from .common import cut, parallelism, release, slices, table, unused
 
 WINDOW, GRAM, CELL, LIMIT = 400, 32, 32, 128
 #: Bytes that are hashed at a time, and the low bits of a key that hold a place in them.
@@ -333,6 +333,32 @@ def counted_windows(rows: DataFrame) -> DataFrame:
     return found.filter("occ = 1").join(twice, ["w1", "w2"], "left_semi").select("c1", "c2", "high", F.col("high").alias("low"))
 
 
+def merged(spans: DataFrame) -> DataFrame:
+    """The maximal spans of (k1, k2, start, end), those that overlap or touch as one; a task holds one batch, however many spans a text has."""
+    names = ["k1", "k2", "start", "end"]
+
+    def run(batches):
+        last: tuple[int, int, int, int] | None = None
+        for b in batches:
+            k1, k2, start, end = (b.column(i).to_numpy() for i in range(4))
+            if last is not None:  # the span that is still open comes first
+                k1, k2, start, end = (np.concatenate([[x], c]) for x, c in zip(last, (k1, k2, start, end), strict=True))
+            if not len(k1):
+                continue
+            text = np.cumsum(np.concatenate([[0], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
+            # Ends so far, by text: places in a text are below 2^40.
+            reach = np.maximum.accumulate((text << 40) + end)
+            first = np.flatnonzero(np.concatenate([[True], (text << 40)[1:] + start[1:] > reach[:-1]]))
+            stop = (reach & ((1 << 40) - 1))[np.append(first[1:], len(k1)) - 1]
+            cols = [k1[first], k2[first], start[first], stop]
+            last = tuple(int(c[-1]) for c in cols)
+            yield _batch(names, [c[:-1] for c in cols])
+        if last is not None:
+            yield _batch(names, [[x] for x in last])
+
+    return spans.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "start").mapInArrow(run, "k1 long, k2 long, start long, end long")
+
+
 def covered(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(k1, k2, spans): for each text with a repeated window, the byte spans (start, end) that such windows cover."""
     runs_ = cut(anchors(rows))
@@ -354,8 +380,8 @@ def covered(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     # Runs that occur twice are covered from end to end; the others where their cells are.
     of_run = own.filter("n > 1").select("c1", "c2", (F.col("anchor") - F.col("first")).alias("high"), (F.col("anchor") - F.col("last")).alias("low")).unionByName(hit)
     spans = runs_.select("k1", "k2", "anchor", "c1", "c2").join(of_run, ["c1", "c2"])
-    spans = spans.select("k1", "k2", F.struct((F.col("anchor") - F.col("high")).alias("start"), (F.col("anchor") - F.col("low") + WINDOW).alias("end")).alias("span"))
-    out = cut(spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")))
+    spans = spans.select("k1", "k2", (F.col("anchor") - F.col("high")).alias("start"), (F.col("anchor") - F.col("low") + WINDOW).alias("end"))
+    out = cut(merged(spans).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     release(runs_, own, raw, parts, kinds, rest)
     return out
 
@@ -412,13 +438,15 @@ def op6_suffixes(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated strings go from the texts; a text of which nothing but white space is left goes whole.
 
-    Where a span ends inside a character, the whole character stays.
+    Where a span ends inside a character, the whole character stays. Null and short texts
+    stay as they are; other columns are kept, whatever their names.
     """
+    k1, k2, cover = unused(docs.columns, "k1_", "k2_", "spans_")
     rows = keyed(docs)
     found = covered(rows)
     at = [c for c in docs.columns if c != "text"]
-    both = docs.withColumns({"__k1": F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))), "__k2": F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1), F.col("doc_id").cast("long"))})
-    joined = both.join(found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans")), ["__k1", "__k2"], "left")
+    both = docs.withColumns({k1: F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))), k2: F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1), F.col("doc_id").cast("long"))})
+    joined = both.join(found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(cover)), [k1, k2], "left")
 
     def whole(data: bytes, s: int, e: int) -> tuple[int, int]:
         while s < e and data[s] & 0xC0 == 0x80:
@@ -430,7 +458,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(batches):
         for b in slices(batches, 256):
             names = b.schema.names
-            texts, spans = b.column(names.index("text")).to_pylist(), b.column(names.index("__spans")).to_pylist()
+            texts, spans = b.column(names.index("text")).to_pylist(), b.column(names.index(cover)).to_pylist()
             out, stays = [], []
             for text, s in zip(texts, spans, strict=True):
                 if s:
@@ -438,9 +466,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                     text = kept(data, [whole(data, *x) for x in maximal(s)]).decode()
                 out.append(text)
                 stays.append(not s or bool(text.strip()))
-            cols = [pa.array(out, pa.string()) if n == "text" else b.column(k) for k, n in enumerate(names) if n != "__spans"]
-            yield pa.RecordBatch.from_arrays(cols, [n for n in names if n != "__spans"]).filter(pa.array(stays, pa.bool_()))
+            cols = [pa.array(out, pa.string()) if n == "text" else b.column(k) for k, n in enumerate(names) if n != cover]
+            yield pa.RecordBatch.from_arrays(cols, [n for n in names if n != cover]).filter(pa.array(stays, pa.bool_()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = joined.select(*docs.columns, "__spans").mapInArrow(run, schema)
+    out = joined.select(*docs.columns, cover).mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in at else out
