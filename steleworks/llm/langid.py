@@ -19,28 +19,31 @@ from pyspark.sql import functions as F
 
 from .common import crc_is, slices, table
 
-#: Length of the vectors, letter codes (0 is what separates words) and random seed.
-DIMENSIONS, CODES, SEED = 512, 64, 20240607
+#: Length of the vectors and random seed.
+DIMENSIONS, SEED = 512, 20240607
 UNKNOWN = "und"
+#: Bits of a code point in an n-gram's code; 0 is what separates words.
+POINT = 21
 
 
 @cache
 def _letters() -> np.ndarray:
-    """The code of each code point below 0x30000: a-z have their own, other letters share 37 by a hash; no letter is 0."""
-    out = np.zeros(0x30000, np.uint8)
-    for cp in range(0x30000):
-        if (ch := chr(cp)).isalpha():
-            low = ord(ch.lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 7) % 37
+    """The lower-case letter of each code point, 0 for those that are no letters."""
+    out = np.zeros(0x110000, np.uint32)
+    alpha = np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), bool, 0x110000)
+    for cp in np.flatnonzero(alpha).tolist():
+        out[cp] = ord(chr(cp).lower()[0])
     return out
 
 
-@cache
-def _vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Bound pairs P2(a) * P1(b) (CODES^2 rows), and the letters' own vectors; int8."""
-    letters = np.random.default_rng(SEED).integers(0, 2, (CODES, DIMENSIONS), dtype=np.int8) * 2 - 1
-    pairs = np.roll(letters, 2, 1)[:, None, :] * np.roll(letters, 1, 1)[None, :, :]
-    return pairs.reshape(CODES * CODES, DIMENSIONS), letters
+def vectors(points: np.ndarray) -> np.ndarray:
+    """The bipolar vectors of code points, each from a seeded hash of its own; int8."""
+    words = np.arange(DIMENSIONS // 64, dtype=np.uint64)
+    x = (points.astype(np.uint64)[:, None] * np.uint64(DIMENSIONS // 64) + words + np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(len(points), -1), axis=1)
+    return bits.astype(np.int8) * 2 - 1
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -50,27 +53,36 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     without letters has no n-gram.
     """
     points = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
-    codes = _letters()[np.minimum(points, 0x2FFFF)]
-    codes = np.concatenate([[0], codes, [0]]).astype(np.int32)
+    codes = np.concatenate([[0], _letters()[points], [0]]).astype(np.int64)
     codes = codes[(codes != 0) | (np.concatenate([[1], codes[:-1]]) != 0)]
     if len(codes) < 3:
-        return np.empty(0, np.int32), np.empty(0, np.int64)
-    all_ = (codes[:-2] * CODES + codes[1:-1]) * CODES + codes[2:]
-    if len(all_) > 20_000:
-        counts = np.bincount(all_, minlength=CODES**3)
-        found = np.flatnonzero(counts)
-        return found.astype(np.int32), counts[found]
-    return np.unique(all_, return_counts=True)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.unique((codes[:-2] << 2 * POINT) | (codes[1:-1] << POINT) | codes[2:], return_counts=True)
+
+
+_known: dict[int, int] = {}
+_tables: list[np.ndarray] = []
+
+
+def _places(points: np.ndarray) -> np.ndarray:
+    """Where the vectors of the points are in the tables of all letters that the process has met: once, twice and never rolled."""
+    found, own = np.unique(points, return_inverse=True)
+    new = [p for p in found.tolist() if p not in _known]
+    if new or not _tables:
+        _known.update({p: len(_known) + k for k, p in enumerate(new)})
+        letters = vectors(np.fromiter(_known, np.int64, len(_known)))
+        _tables[:] = [np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters]
+    return np.fromiter((_known[p] for p in found.tolist()), np.int64, len(found))[own]
 
 
 def bundle(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The sum of the n-grams' vectors, whole numbers in float64."""
-    pairs, letters = _vectors()
-    out = np.zeros(DIMENSIONS)
+    out, mask = np.zeros(DIMENSIONS), (1 << POINT) - 1
     for at in range(0, len(found), 2048):
         f = found[at : at + 2048]
-        bound = pairs[f // CODES] * letters[f % CODES]
-        out += counts[at : at + 2048].astype(np.float32) @ bound.astype(np.float32)
+        a, b, c = np.split(_places(np.concatenate([f >> 2 * POINT, f >> POINT & mask, f & mask])), 3)
+        bound = _tables[0][a] * _tables[1][b] * _tables[2][c]
+        out += counts[at : at + 2048].astype(np.float64) @ bound.astype(np.float64) if counts.max() > 4096 else counts[at : at + 2048].astype(np.float32) @ bound.astype(np.float32)
     return out
 
 
@@ -85,25 +97,24 @@ class Model(NamedTuple):
 def train(labelled: DataFrame) -> Model:
     """Prototypes from every row of (text, lang); rows with a null lang are left out.
 
-    A task adds up n-gram counts for each language, bounded by CODES^3, and sends
-    one bundle a language; these are summed by dimension. The driver gets
-    DIMENSIONS numbers for each language.
+    A task adds up one bundle for each language, its n-grams counted batch by batch; bundles
+    are summed by dimension. The driver gets DIMENSIONS numbers for each language.
     """
 
     def run(batches):
-        counts: dict[str, np.ndarray] = {}
+        totals: dict[str, np.ndarray] = {}
         for b in slices(batches, 256):
+            parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found, n = grams(text)
-                counts.setdefault(lang, np.zeros(CODES**3, np.int64))[found] += n
-        for lang, n in counts.items():
-            found = np.flatnonzero(n)
-            pairs, letters = _vectors()
-            total = np.zeros(DIMENSIONS, np.int64)
-            for at in range(0, len(found), 1024):
-                f = found[at : at + 1024]
-                total += n[f] @ (pairs[f // CODES] * letters[f % CODES]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(range(DIMENSIONS), pa.int32()), pa.array(total)], ["lang", "dim", "value"])
+                parts.setdefault(lang, []).append(grams(text))
+            for lang, own in parts.items():
+                found, at = np.unique(np.concatenate([f for f, _ in own]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([n for _, n in own]), len(found))
+                totals.setdefault(lang, np.zeros(DIMENSIONS))
+                if len(found):
+                    totals[lang] += bundle(found, counts)
+        for lang, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(range(DIMENSIONS), pa.int32()), pa.array(np.rint(total).astype(np.int64))], ["lang", "dim", "value"])
 
     rows = labelled.filter("lang IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     sums = rows.mapInArrow(run, "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value")).toPandas()
@@ -144,7 +155,8 @@ def identify(docs: DataFrame, model: Model, keep=None, languages: str = "lang_pr
     keep: a pyarrow-free test of (language, score); rows that fail it are left out.
     A null text, an empty one and one without letters give `und` with score 0, as
     does every text when no language was learned. Ties go to the first language in
-    order of name. A column of docs named as an added one is replaced.
+    order of name. A column of docs named as an added one is replaced. Repeated rows give
+    repeated results; very long texts are counted whole, one at a time; an empty table gives none.
     """
     rest = docs.drop(languages, scores)
     at = rest.columns.index("text")
