@@ -11,6 +11,7 @@ salt would be taken.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -170,9 +171,17 @@ def _canonical_surrogate(kind: str, canonical: str, key: bytes) -> str:
     return reshaped(canonical, _classes(canonical), key)
 
 
+#: The names that pools replace, first names and surnames.
+_POOLED = {given: {w.casefold() for (_, gender), pool in POOLS.items() if given or gender == "s" for w in pool} for given in (True, False)}
+
+
 @lru_cache(100_000)
 def name_part(word: str, given: bool, key: bytes) -> str:
-    """A first or last name's surrogate; one known to a pool stays in the pool."""
+    """A first or last name's surrogate; one known to a pool stays in the pool, any other outside of all.
+
+    A permutation of a name's own form that leads into a pool is followed on until it is
+    out again. So two names never share a surrogate, whichever of them a pool knows.
+    """
     low = word.casefold()
     for (script, gender), pool in POOLS.items():
         known = [w.casefold() for w in pool]
@@ -180,16 +189,22 @@ def name_part(word: str, given: bool, key: bytes) -> str:
             pick = pool[permuted(known.index(low), len(pool), 1, key + script.encode() + gender.encode())]
             return pick.upper() if word.isupper() and len(word) > 1 else pick
     small = low if len(low) == len(word) else word
-    if all("一" <= c <= "鿿" for c in word):
-        out = "".join(chr(0x4E00 + permuted(ord(c) - 0x4E00, 144, 144, key)) for c in word)
-    elif all("가" <= c <= "힣" for c in word):
-        out = "".join(chr(0xAC00 + permuted(ord(c) - 0xAC00, 196, 57, key)) for c in word)
-    else:
-        # The ending stays: in many languages it tells the gender.
-        keep = 1 if given and len(small) > 2 else 0
-        body = small[: len(small) - keep]
-        out = _cased(reshaped(body, _classes(body), key) + small[len(small) - keep :], word)
-    return out
+    han, hangul = all("一" <= c <= "鿿" for c in word), all("가" <= c <= "힣" for c in word)
+    # The ending stays: in many languages it tells the gender.
+    keep = 1 if given and len(small) > 2 and not han and not hangul else 0
+
+    def turned(x: str) -> str:
+        if han:
+            return "".join(chr(0x4E00 + permuted(ord(c) - 0x4E00, 144, 144, key)) for c in x)
+        if hangul:
+            return "".join(chr(0xAC00 + permuted(ord(c) - 0xAC00, 196, 57, key)) for c in x)
+        body = x[: len(x) - keep]
+        return reshaped(body, _classes(body), key) + x[len(x) - keep :]
+
+    out = turned(small)
+    while out.casefold() in _POOLED[given]:
+        out = turned(out)
+    return _cased(out, word)
 
 
 _RE = {
@@ -248,12 +263,41 @@ def _found(text: str) -> Iterator[tuple[str, int, int]]:
             yield from (("LAST", *m.span(k)), ("GIVEN", *m.span(k + 1)))
 
 
+def _spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the entities in order, without overlaps: the one that starts first wins, then the longer.
+
+    Where a text names a person, its other mentions of that name's parts are entities, too.
+    """
+
+    def apart(found) -> list[tuple[str, int, int]]:
+        out: list[tuple[str, int, int]] = []
+        for kind, s, e in sorted(set(found), key=lambda x: (x[1], -x[2], x[0])):
+            if not out or s >= out[-1][2]:
+                out.append((kind, s, e))
+        return out
+
+    out = apart(_found(text))
+    parts: dict[str, str] = {}
+    for kind, s, e in out:
+        if kind in ("GIVEN", "LAST") and e - s > 2:
+            parts.setdefault(text[s:e], kind)
+    if parts:
+        again = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(p) for p in sorted(parts, key=len, reverse=True))})(?!\w)")
+        taken = set(out)
+        more = [(parts[m.group()], *m.span()) for m in again.finditer(text)]
+        starts = [s for _, s, _ in out]
+        for kind, s, e in more:
+            i = bisect.bisect_right(starts, s)
+            if (not i or out[i - 1][2] <= s) and (i == len(out) or out[i][1] >= e):
+                taken.add((kind, s, e))
+        out = sorted(taken, key=lambda x: x[1])
+    return out
+
+
 def entities(text: str | None, key: bytes = KEY) -> list[Entity]:
-    """The entities of a text in order, without overlaps: the one that starts first wins, then the longer."""
+    """The entities of a text, as _spans() finds them, with their surrogates."""
     out: list[Entity] = []
-    for kind, s, e in sorted(set(_found(text or "")), key=lambda x: (x[1], -x[2], x[0])):
-        if out and s < out[-1].end:
-            continue
+    for kind, s, e in _spans(text or ""):
         raw = text[s:e]
         if kind in ("GIVEN", "LAST"):
             own = hashlib.blake2b(kind.encode(), key=key[:64], digest_size=32).digest()
@@ -321,7 +365,8 @@ def pseudonymized(docs: DataFrame, key: bytes = KEY, extra: bool = True) -> Data
     """docs with the entities in `text` replaced and, if extra, n_entities and entities (kind, start, end, surrogate).
 
     Positions are code points of the old text. A null text stays null without
-    entities. Columns of docs named as the added ones are replaced.
+    entities. Columns of docs named as the added ones are replaced. Repeated rows get equal
+    surrogates; a very long text is held by one task; an empty table gives none.
     """
     rest = docs.drop("n_entities", "entities") if extra else docs
     at = rest.columns.index("text")
