@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import cut, slices, table
 
 VOCABULARY, CHUNK, UNIT, SPACE = "piece_bpe_32k.model", 65_536, 64, "▁"
-#: Words whose segmentation a worker remembers.
-WORDS = 500_000
+#: Chunks whose matrices are multiplied in one task; words whose segmentation a worker remembers, and the longest of them.
+SPAN, WORDS, REMEMBERED = 64, 500_000, 64
 #: What no path reaches.
 NEVER = -(1 << 60)
 
@@ -151,7 +151,7 @@ def solve(v: Pieces, word: str) -> bytes:
         else:
             _, back = forward(v, word, len(word), [0])
             found = trace(v, word, back, len(word))[1]
-        if len(v.words) < WORDS:
+        if len(word) <= REMEMBERED and len(v.words) < WORDS:
             v.words[word] = found
     return found
 
@@ -214,9 +214,16 @@ def combine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x[:, :, None] + y[None, :, :]).max(1), NEVER)
 
 
-def prefixes(matrices: list[np.ndarray]) -> list[np.ndarray]:
-    """The best score of each state at every cut, from the start of the text on."""
-    out = [np.where(np.arange(len(matrices[0])) == 0, 0, NEVER)]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The (max, +) product of matrices in a row, by pairs."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def prefixes(matrices: list[np.ndarray], first: np.ndarray | None = None) -> list[np.ndarray]:
+    """The best score of each state at every cut, from the start of the text on; first: those at the first cut."""
+    out = [np.where(np.arange(len(matrices[0])) == 0, 0, NEVER) if first is None else first]
     for m in matrices:
         out.append(np.maximum((out[-1][:, None] + m).max(0), NEVER))
     return out
@@ -236,9 +243,17 @@ def entries(v: Pieces, text: str, body: int, prefix: list[int]) -> list[int]:
     return [trace(v, text, back, body + b)[0] if body + b <= len(text) and best[body + b] > NEVER else 0 for b in range(v.longest)]
 
 
-def boundary_states(maps: list[list[int]]) -> list[int]:
-    """The state at every cut: 0 at the end, and then as the chunks' maps say."""
-    out = [0]
+def composed(maps: list[list[int]]) -> list[int]:
+    """The map over several chunks in a row."""
+    out = list(range(len(maps[0])))
+    for m in reversed(maps):
+        out = [m[x] for x in out]
+    return out
+
+
+def boundary_states(maps: list[list[int]], last: int = 0) -> list[int]:
+    """The state at every cut: `last` at the end, and then as the chunks' maps say."""
+    out = [last]
     for m in reversed(maps):
         out.append(m[out[-1]])
     return out[::-1]
@@ -284,9 +299,10 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK) -
     """(doc_id, n_tokens, score, ids, chunks) of each text; ids are little-endian 32-bit numbers.
 
     Texts of up to `chunk` characters are one chunk. Longer ones are dealt out by
-    chunk, wherever they come from: their matrices, some thousand numbers a chunk,
-    are brought together by document, and states go back to the chunks. Null and
-    empty texts have no ids. Repeated rows are coded each for itself.
+    chunk, wherever they come from: their matrices, some hundred numbers a chunk, are
+    multiplied by blocks of SPAN chunks and the products by document; scores and states go
+    back the same way. Null and empty texts have no ids, an empty table no rows. Repeated
+    rows are coded each for itself. Other columns don't matter.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     names = ["doc_id", "n_tokens", "score", "ids", "chunks"]
@@ -315,12 +331,27 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK) -
             made = [matrix(v, x, n, z).astype("<i8").tobytes() for x, n, z in zip(t, body, last, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(k, pa.int32()), pa.array(made, pa.binary())], ["row", "k", "m"])
 
+    matrix_of = lambda x: np.frombuffer(x, "<i8").reshape(longest, longest)
+    ordered = lambda xs, key: sorted(xs, key=lambda x: x[key])
+
+    def multiply(batches):
+        for b in slices(batches, 16):
+            made = [product([matrix_of(x["m"]) for x in ordered(ms, "k")]).astype("<i8").tobytes() for ms in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["row", "block", "m"])
+
     def scan(batches):
         for b in slices(batches, 16):
             for row, ms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = prefixes([np.frombuffer(x["m"], "<i8").reshape(longest, longest) for x in sorted(ms, key=lambda x: x["k"])])[:-1]
-                n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], ["row", "k", "prefix"])
+                ms = ordered(ms, "block")
+                found = prefixes([matrix_of(x["m"]) for x in ms])[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(ms), pa.int64()), pa.array([x["block"] for x in ms], pa.int32()), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], ["row", "block", "first"])
+
+    def spread_out(batches):
+        for b in slices(batches, 16):
+            for row, ms, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                ms = ordered(ms, "k")
+                found = prefixes([matrix_of(x["m"]) for x in ms], np.array(first, np.int64))[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(ms), pa.int64()), pa.array([x["k"] for x in ms], pa.int32()), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], ["row", "k", "prefix"])
 
     def choose(batches):
         v = load(vocabulary)
@@ -330,11 +361,23 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK) -
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(k, pa.int32()), pa.array(maps, pa.list_(pa.int32()))], ["row", "k", "map"])
 
     def compose(batches):
+        for b in slices(batches, 16):
+            made = [composed([x["map"] for x in ordered(ms, "k")]) for ms in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int32()))], ["row", "block", "map"])
+
+    def leave(batches):
         for b in slices(batches, 16):
             for row, ms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = boundary_states([x["map"] for x in sorted(ms, key=lambda x: x["k"])])
-                n = len(ms)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(s[:-1], pa.int32()), pa.array(s[1:], pa.int32())], ["row", "k", "entry", "leave"])
+                ms = ordered(ms, "block")
+                s = boundary_states([x["map"] for x in ms])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(ms), pa.int64()), pa.array([x["block"] for x in ms], pa.int32()), pa.array(s[1:], pa.int32())], ["row", "block", "last"])
+
+    def states(batches):
+        for b in slices(batches, 16):
+            for row, ms, last in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                ms = ordered(ms, "k")
+                s = boundary_states([x["map"] for x in ms], last)
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(ms), pa.int64()), pa.array([x["k"] for x in ms], pa.int32()), pa.array(s[:-1], pa.int32()), pa.array(s[1:], pa.int32())], ["row", "k", "entry", "leave"])
 
     def back(batches):
         v = load(vocabulary)
@@ -344,15 +387,26 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK) -
             cols = [pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array([score_of(v, i) for i in got], pa.int64()), pa.array(got, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "k", "score", "ids"])
 
+    def joined(batches):
+        for b in slices(batches, 16):
+            ids = [b"".join([x["ids"] for x in ordered(all_, "k")]) for all_ in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), b.column(1), pa.array(ids, pa.binary()), b.column(3)], names)
+
+    # Up: chunks' matrices are multiplied by blocks, blocks' products give the scores at the blocks' starts; down: those at all cuts.
+    block = F.floor(F.col("k") / SPAN).cast("int").alias("block")
+    by_block = lambda df, *cols: df.groupBy("row", block).agg(F.collect_list(F.struct(*cols)).alias("xs"))
+    by_row = lambda df, *cols: df.groupBy("row").agg(F.collect_list(F.struct(*cols)).alias("xs"))
     spread = parts.repartition(parts.sparkSession.sparkContext.defaultParallelism * 4, "row", "k")
-    matrices = spread.mapInArrow(transfer, "row long, k int, m binary").groupBy("row").agg(F.collect_list(F.struct("k", "m")).alias("ms"))
-    before = matrices.mapInArrow(scan, "row long, k int, prefix array<long>")
-    maps = parts.join(before, ["row", "k"]).select("row", "k", "body", "t", "prefix").mapInArrow(choose, "row long, k int, map array<int>")
-    at = maps.groupBy("row").agg(F.collect_list(F.struct("k", "map")).alias("maps")).mapInArrow(compose, "row long, k int, entry int, leave int")
+    matrices = cut(spread.mapInArrow(transfer, "row long, k int, m binary"))
+    starts = by_row(by_block(matrices, "k", "m").mapInArrow(multiply, "row long, block int, m binary"), "block", "m").mapInArrow(scan, "row long, block int, first array<long>")
+    before = by_block(matrices, "k", "m").join(starts, ["row", "block"]).select("row", "xs", "first").mapInArrow(spread_out, "row long, k int, prefix array<long>")
+    # The same from the end for the states that paths go through.
+    maps = cut(parts.join(before, ["row", "k"]).select("row", "k", "body", "t", "prefix").mapInArrow(choose, "row long, k int, map array<int>"))
+    lasts = by_row(by_block(maps, "k", "map").mapInArrow(compose, "row long, block int, map array<int>"), "block", "map").mapInArrow(leave, "row long, block int, last int")
+    at = by_block(maps, "k", "map").join(lasts, ["row", "block"]).select("row", "xs", "last").mapInArrow(states, "row long, k int, entry int, leave int")
     traced = parts.join(at, ["row", "k"]).select("row", "doc_id", "k", "body", "t", "entry", "leave").mapInArrow(back, "row long, doc_id long, k int, score long, ids binary")
-    whole = traced.groupBy("row", "doc_id").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("all"), F.count("*").cast("int").alias("chunks"))
-    ids = F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    many = whole.select("doc_id", "score", ids.alias("ids"), "chunks").select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), "score", "ids", "chunks")
+    whole = traced.groupBy("row", "doc_id").agg(F.sum("score").alias("score"), F.collect_list(F.struct("k", "ids")).alias("all"), F.count("*").cast("int").alias("chunks"))
+    many = whole.select("doc_id", "score", "all", "chunks").mapInArrow(joined, CODED)
     return one.unionByName(many)
 
 
