@@ -30,6 +30,7 @@ EBML, DOCTYPE, SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x1A45DFA3, 0x4282, 0x
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+DEFAULT_DURATION, REFERENCE_BLOCK = 0x23E383, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 TOP_LEVEL = {CLUSTER, CUES, INFO, TRACKS, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
@@ -127,6 +128,27 @@ def mux(payload: bytes) -> bytes:
     return element(EBML, element(DOCTYPE, b"matroska")) + element(SEGMENT, head + b"".join(clusters) + element(CUES, b"".join(cues)))
 
 
+def _head(data: bytes, at: int) -> tuple[int, int, int]:
+    """Identifier, start of the payload and its size, -1 if unknown."""
+    width = 9 - data[at].bit_length()
+    if width > 4:
+        raise ValueError(f"no element at {at}")
+    size, w = read_vint(data, at + width)
+    return int.from_bytes(data[at : at + width], "big"), at + width + w, -1 if size == (1 << 7 * w) - 1 else size
+
+
+def _cluster_end(data: bytes, at: int, end: int) -> int:
+    """Where a cluster of unknown size ends: before the next element of the top level, in one pass over its own."""
+    while at < end:
+        ident, payload, size = _head(data, at)
+        if ident in TOP_LEVEL:
+            return at
+        if size < 0:
+            return end
+        at = payload + size
+    return end
+
+
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
     """(identifier, start, start of payload, end) of each element in data[at:end].
 
@@ -134,20 +156,13 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, in
     of the top level starts, for a cluster.
     """
     while at < end:
-        start, width = at, 9 - data[at].bit_length()
-        if width > 4:
-            raise ValueError(f"no element at {at}")
-        ident = int.from_bytes(data[at : at + width], "big")
-        size, w = read_vint(data, at + width)
-        at += width + w
-        if size == (1 << 7 * w) - 1:
-            stop = end
-            if ident == CLUSTER:
-                stop = next((s for i, s, _, _ in elements(data, at, end) if i in TOP_LEVEL), end)
-        else:
-            stop = at + size
-            if stop > end:
-                raise ValueError(f"the element at {start} is longer than its parent")
+        start = at
+        ident, at, size = _head(data, start)
+        stop = at + size if size >= 0 else _cluster_end(data, at, end) if ident == CLUSTER else end
+        if stop > end:
+            if ident in (SEGMENT, CLUSTER):  # what there is of it is read before the fault is told
+                yield ident, start, at, end
+            raise ValueError(f"the element at {start} is longer than its parent")
         yield ident, start, at, stop
         at = stop
 
@@ -179,9 +194,20 @@ def _lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
     return sizes, at
 
 
-def parse(data: bytes) -> Media:
-    """The packet table of a file. Broken files raise ValueError."""
-    out, sampling = Media(), {}
+def _frame_ms(codec: str, entry: dict[int, bytes], audio: dict[int, bytes]) -> tuple[float, float]:
+    """How long a frame of a track lasts, and each byte of it: by its default duration, by its samples' size for PCM, else not at all."""
+    if duration := int.from_bytes(entry.get(DEFAULT_DURATION, b""), "big"):
+        return duration / 1e6, 0.0
+    if not codec.startswith("A_PCM") or SAMPLING not in audio:
+        return 0.0, 0.0
+    rate = struct.unpack(">d" if len(audio[SAMPLING]) == 8 else ">f", audio[SAMPLING])[0]
+    size = int.from_bytes(audio.get(CHANNELS, b"\x01"), "big") * int.from_bytes(audio.get(BIT_DEPTH, b""), "big") / 8
+    return 0.0, 1000 / (rate * size) if rate and size else 0.0
+
+
+def parse(data: bytes, out: Media | None = None) -> Media:
+    """The packet table of a file. Broken files raise ValueError, IndexError or struct.error; `out` then has what comes before the fault."""
+    out, lasting = Media() if out is None else out, {}
     for ident, _, at, end in elements(data, 0, len(data)):
         if ident == SEGMENT:
             for ident, start, a, b in elements(data, at, end):  # noqa: PLW2901
@@ -195,15 +221,13 @@ def parse(data: bytes) -> Media:
                     for i, _, x, y in elements(data, a, b):
                         if i == TRACK_ENTRY:
                             got = {k: data[p:q] for k, _, p, q in elements(data, x, y)}
-                            number = int.from_bytes(got[TRACK_NUMBER], "big")
+                            number = int.from_bytes(got.get(TRACK_NUMBER, b""), "big")
                             out.tracks[number] = got.get(CODEC_ID, b"").decode("ascii", "replace")
                             audio = got.get(AUDIO, b"")
-                            inner = {k: audio[p:q] for k, _, p, q in elements(audio, 0, len(audio))}
-                            if SAMPLING in inner:
-                                sampling[number] = struct.unpack(">d" if len(inner[SAMPLING]) == 8 else ">f", inner[SAMPLING])[0]
+                            lasting[number] = _frame_ms(out.tracks[number], got, {k: audio[p:q] for k, _, p, q in elements(audio, 0, len(audio))})
                 elif ident == CLUSTER:
-                    _cluster(data, a, b, out, sampling)
                     out.clusters.append((start - at, b - a))
+                    _cluster(data, a, b, out, lasting)
                 elif ident == CUES:
                     for i, _, x, y in elements(data, a, b):
                         if i == CUE_POINT:
@@ -218,28 +242,30 @@ def parse(data: bytes) -> Media:
     return out
 
 
-def _cluster(data: bytes, at: int, end: int, out: Media, sampling: dict[int, float]) -> None:
+def _cluster(data: bytes, at: int, end: int, out: Media, lasting: dict[int, tuple[float, float]]) -> None:
     base = 0
     for ident, _, a, b in elements(data, at, end):
         if ident == TIMESTAMP:
             base = int.from_bytes(data[a:b], "big")
             continue
+        refers = None
         if ident == BLOCK_GROUP:
-            a, b = next(((x, y) for i, _, x, y in elements(data, a, b) if i == BLOCK), (0, 0))
-            if not b:
+            inside = {i: (x, y) for i, _, x, y in elements(data, a, b)}
+            if BLOCK not in inside:
                 continue
+            (a, b), refers = inside[BLOCK], REFERENCE_BLOCK in inside
         elif ident != SIMPLE_BLOCK:
             continue
         track, w = read_vint(data, a)
         relative, flags = struct.unpack_from(">hB", data, a + w)
         lacing = flags >> 1 & 3
         sizes, place = _lace_sizes(data, a + w + 3, b, lacing)
-        # Frames of a lace follow each other; for 8-bit PCM a byte is a sample.
-        when, per_byte = (base + relative) * out.scale_ns / 1e6, 1000 / sampling[track] if sampling.get(track) else 0.0
+        # Frames of a lace follow each other; a block of a group is a key frame if it refers to no other.
+        when, (frame, byte) = (base + relative) * out.scale_ns / 1e6, lasting.get(track, (0.0, 0.0))
         for n in sizes:
-            out.packets.append((track, int(when), bool(flags & 0x80), lacing, place, n))
+            out.packets.append((track, int(when), bool(flags & 0x80) if refers is None else not refers, lacing, place, n))
             place += n
-            when += n * per_byte
+            when += frame + n * byte
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -265,7 +291,7 @@ def feature(media: Media) -> str:
     )
 
 
-PACKETS = "doc_id long, packet int, track int, timestamp_ms long, keyframe boolean, lacing string, byte_offset long, byte_size long"
+PACKETS = "doc_id long, packet int, track int, timestamp_ms long, keyframe boolean, lacing string, byte_offset long, byte_size long, error string"
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -280,20 +306,27 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def packet_table(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """One row for each packet of each file. A null or broken file has no rows."""
+    """One row for each packet of each file, with the kind of fault that ends the file (error), or null.
+
+    A broken file has the packets before the fault, or one row without a packet. A null file
+    and one without packets have no rows. Repeated rows give repeated results.
+    """
 
     def run(batches):
         for b in slices(batches, 64):
             rows = []
             for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                media, error = Media(), None
                 try:
-                    found = parse(data).packets if data else []
-                except (ValueError, IndexError, KeyError, struct.error):
-                    found = []
-                rows += [(doc, k, p[0], p[1], p[2], LACINGS[p[3]], p[4], p[5]) for k, p in enumerate(found)]
-            names = ["doc_id", "packet", "track", "timestamp_ms", "keyframe", "lacing", "byte_offset", "byte_size"]
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names)
+                    parse(data or b"", media)
+                except (ValueError, IndexError, struct.error) as e:
+                    error = type(e).__name__
+                rows += [(doc, k, p[0], p[1], p[2], LACINGS[p[3]], p[4], p[5], error) for k, p in enumerate(media.packets)]
+                if error and not media.packets:
+                    rows.append((doc, *[None] * 7, error))
+            names = ["doc_id", "packet", "track", "timestamp_ms", "keyframe", "lacing", "byte_offset", "byte_size", "error"]
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, types, strict=True)], names)
 
     return files.select(F.col(key).cast("long").alias("doc_id"), F.col(media).alias("media")).mapInArrow(run, PACKETS)
 
