@@ -13,14 +13,19 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 SPARSE, DENSE = 0.05, 0.60
 
 
+def _given(v: Column, f) -> Column:
+    """f of a value that is computed once; named within another lambda, it would be computed for each element."""
+    return F.transform(F.array(v), f)[0]
+
+
 def mean(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
 
 
 def rescale(v: Column) -> Column:
     """Stretched to 0..255, cut to whole numbers; a flat image is all zero."""
-    low, high = F.array_min(v), F.array_max(v)
-    return F.transform(v, lambda x: F.when(high > low, F.floor((x - low) / (high - low) * 255)).otherwise(0).cast("int"))
+    ends = F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high"))
+    return _given(ends, lambda e: F.transform(v, lambda x: F.when(e["high"] > e["low"], F.floor((x - e["low"]) / (e["high"] - e["low"]) * 255)).otherwise(0).cast("int")))
 
 
 def inverted(v: Column) -> Column:
@@ -39,25 +44,32 @@ def counts(v: Column) -> Column:
 
 
 def equalized(v: Column) -> Column:
-    """Histogram equalisation: each value's share of pixels up to it, from the smallest one's on."""
-    low = F.size(F.filter(v, lambda x: x == F.array_min(v)))
-    n = F.size(v)
-    cdf = lambda x: F.size(F.filter(v, lambda y: y <= x))
-    return F.transform(v, lambda x: F.when(n > low, F.round((cdf(x) - low) / (n - low) * 255)).otherwise(x).cast("int"))
+    """Histogram equalisation: each value's share of pixels up to it, from the smallest one's on. One pass for each gray value, not for each pixel."""
+    until = F.map_from_entries(F.transform(F.array_distinct(v), lambda b: F.struct(b, F.size(F.filter(v, lambda y: y <= b)))))
+    fixed = F.struct(until.alias("until"), F.array_min(v).alias("least"), F.size(v).alias("n"))
+
+    def one(x: Column, c: Column) -> Column:
+        low = c["until"][c["least"]]
+        return F.when(c["n"] > low, F.round((c["until"][x] - low) / (c["n"] - low) * 255)).otherwise(x).cast("int")
+
+    return _given(fixed, lambda c: F.transform(v, lambda x: one(x, c)))
 
 
 def otsu(v: Column) -> Column:
-    """The threshold with the largest variance between the classes; of equal ones the smallest."""
-    n = F.size(v)
-    total = F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x)
+    """The threshold with the largest variance between the classes; of equal ones the smallest, of a flat image its gray value."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
+    whole = F.struct(F.size(v).alias("n"), total(v).alias("sum"))
+
+    def below(b: Column) -> Column:
+        return _given(F.filter(v, lambda x: x <= b), lambda p: F.struct((-b).alias("key"), F.size(p).alias("n"), total(p).alias("sum")))
 
-    def at(b: Column) -> Column:
-        below = F.filter(v, lambda x: x <= b)
-        w, m = F.size(below), F.aggregate(below, F.lit(0).cast("long"), lambda a, x: a + x)
-        spread = w * (n - w) * F.pow(m / w - (total - m) / (n - w), F.lit(2.0))
-        return F.struct(F.when((w > 0) & (w < n), spread).alias("spread"), (-b).alias("key"))
+    def spread(c: Column, all_: Column) -> Column:
+        w, rest = c["n"], all_["n"] - c["n"]
+        value = w * rest * F.pow(c["sum"] / w - (all_["sum"] - c["sum"]) / rest, F.lit(2.0))
+        return F.struct(F.when((w > 0) & (rest > 0), value).alias("spread"), c["key"].alias("key"))
 
-    return -F.array_max(F.transform(F.array_distinct(v), at))["key"]
+    classes = F.transform(F.array_distinct(v), below)
+    return -_given(whole, lambda all_: F.array_max(F.transform(classes, lambda c: spread(c, all_))))["key"]
 
 
 def density(v: Column, below: int = 128) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pixels as p
+from ..operators.restore import restored
 from .base import query, table, values
 
 #: Vectors as gray values, the same whole numbers in both engines.
@@ -78,3 +79,21 @@ def unified_preprocess(spark, d):
     """Binary image and box of the writing; failures are rows of their own kind."""
     rows = values(spark, "name string, image array<array<int>>", [("flat", [[9, 9], [9, 9]]), ("mark", _IMAGE), ("none", [])])
     return rows.select("name", p.preprocess("image").alias("r")).select("name", "r.success", "r.message", "r.bbox")
+
+
+@query(
+    f"""WITH b AS (SELECT vec_id, px, CAST(px[1] % 6 - 1 AS INTEGER) AS x1, CAST(px[2] % 7 AS INTEGER) AS y1, CAST(px[1] % 6 - 1 + px[3] % 4 AS INTEGER) AS x2, CAST(px[2] % 7 + 3 AS INTEGER) AS y2 FROM (SELECT vec_id, {_GRAY} AS px FROM embeddings)
+        WHERE len(list_filter(px, lambda x: x < 100)) / CAST(len(px) AS DOUBLE) BETWEEN 0.05 AND 0.6),
+    c AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(px) AS v, greatest(x1, 0) AS x1, y1, greatest(x2, 0) AS x2, y2 FROM b),
+    k AS (SELECT vec_id, CAST(floor(v / 16.0) AS INTEGER) AS class FROM c WHERE i % 8 >= x1 AND i % 8 < x2 AND i // 8 >= y1 AND i // 8 < y2),
+    n AS (SELECT a.vec_id, a.class, count(k.class) AS n FROM (SELECT vec_id, CAST(unnest(range(0, 16)) AS INTEGER) AS class FROM (SELECT DISTINCT vec_id FROM k)) a LEFT JOIN k ON a.vec_id = k.vec_id AND a.class = k.class GROUP BY ALL)
+    SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, class) AS INTEGER) AS rank, class, round(exp(n) / sum(exp(n)) OVER (PARTITION BY vec_id), 6) AS probability FROM n QUALIFY rank <= 10"""
+)
+def mask_restore(spark, d):
+    """Masked items, their crops, and the ten likeliest classes; the counts of 16 shades stand in for a model."""
+    at = lambda i: F.element_at("px", i)
+    box = F.array(at(1) % 6 - 1, at(2) % 7, at(1) % 6 - 1 + at(3) % 4, at(2) % 7 + 3)
+    image = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("px", i * 8 + 1, F.lit(8)))
+    items = _gray(spark, d).select("vec_id", image.alias("image"), p.damage(p.density(F.col("px"), 100)).alias("type"), box.alias("box"))
+    shades = lambda c: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.size(F.filter(F.flatten(c), lambda x: F.floor(x / 16) == k)))
+    return restored(items, ["vec_id"], shades).withColumn("probability", F.round("probability", 6))

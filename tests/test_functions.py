@@ -70,3 +70,22 @@ def test_edit_counts():
         assert sum(edits(a, b)) == sum(_moves(x, y))
     finally:
         scores.CELLS = old
+
+
+def test_image_kernels_on_ties_and_flat_images(spark):
+    from steleworks.functions import pixels as p
+
+    rows = [[0, 0, 255, 255], [9, 9, 9], [10, 20, 20, 200], None]
+    assert one(spark, p.otsu, rows, "array<int>") == [0, 9, 20, None]
+    assert one(spark, p.equalized, rows, "array<int>") == [[0, 0, 255, 255], [9, 9, 9], [0, 170, 170, 255], None]
+    assert one(spark, p.rescale, rows, "array<int>") == [[0, 0, 255, 255], [0, 0, 0], [0, 13, 13, 255], None]
+
+
+def test_restored_items(spark):
+    from steleworks.operators.restore import restored
+
+    image = [[1, 2], [3, 4]]
+    items = [("a", image, "MASK2", [0.0, 0.0, 2.0, 1.0]), ("b", image, "MASK1", [0.0, 0.0, 2.0, 1.0]), ("c", image, "MASK2", [1.0, 0.0, 1.9, 2.0]), ("d", image, "MASK2", [5.0, 0.0, 7.0, 2.0]), ("e", None, "MASK2", [0.0, 0.0, 2.0, 1.0]), ("f", image, "MASK2", None)]
+    df = spark.createDataFrame(items, "id string, image array<array<int>>, type string, box array<double>")
+    got = restored(df, ["id"], lambda c: F.flatten(c), 1).collect()
+    assert [(r["id"], r["rank"], r["class"]) for r in got] == [("a", 1, 1)] and abs(got[0]["probability"] - 0.731059) < 1e-6

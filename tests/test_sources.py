@@ -1,4 +1,5 @@
 import io
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -145,3 +146,49 @@ def test_json_texts_of_deep_documents(spark):
     spark.udtf.register("json_texts", register_udtfs()["JsonTexts"])
     deep = "[" * 900 + '{"b": [{"text": "y"}], "text": "x", "a": {"text": "z"}}' + "]" * 900
     assert [r["text"] for r in spark.sql("SELECT h.text FROM (SELECT '" + deep + "' AS j), LATERAL json_texts(j) AS h ORDER BY h.ordinal").collect()] == ["x", "y", "z"]
+
+
+def test_items_are_throttled():
+    from steleworks.plans.runner import throttled
+
+    now, waits = [0.0], []
+
+    def sleep(s):
+        waits.append(s)
+        now[0] += s
+
+    got = []
+    for x in throttled("abc", 2.0, clock=lambda: now[0], sleep=sleep):
+        got.append(x)
+        now[0] += 0.5 if x == "a" else 3.0
+    assert got == ["a", "b", "c"] and waits == [1.5]
+
+
+def test_connectors_and_settings(spark):
+    from steleworks.plans.runner import connectors, settings
+
+    names = ["steleworks.sources.paged:PagedList", "steleworks.sources.absent:X", "steleworks.sources.paged:Absent"]
+    assert list(connectors(spark, names).values()) == ["ok", "missing", "missing"]
+    spark.conf.set("spark.steleworks.margin", "9")
+    try:
+        assert settings(spark, {"margin": "5", "size": "256"}) == {"margin": "9", "size": "256"}
+    finally:
+        spark.conf.unset("spark.steleworks.margin")
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    from steleworks.streaming.progress import Progress
+
+    spark.range(7).coalesce(1).write.parquet(f"{tmp_path}/in")
+    seen = Progress()
+    spark.streams.addListener(seen)
+    try:
+        stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        stream.awaitTermination()
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        deadline = time.monotonic() + 10
+        while not sum(seen.rows.values()) and time.monotonic() < deadline:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    assert list(seen.rows.values()) == [7]
