@@ -1,12 +1,16 @@
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from steleworks.functions import text as t
+from steleworks.operators import sequences
 from steleworks.operators.cleaning import clean_corpus, require, target_column
 from steleworks.operators.scores import _moves, edits
 from steleworks.operators.sequences import text_windows, vote
+from steleworks.plans.registry import QUERIES
 
 
 def one(spark, f, values, kind="string"):
@@ -89,3 +93,49 @@ def test_restored_items(spark):
     df = spark.createDataFrame(items, "id string, image array<array<int>>, type string, box array<double>")
     got = restored(df, ["id"], lambda c: F.flatten(c), 1).collect()
     assert [(r["id"], r["rank"], r["class"]) for r in got] == [("a", 1, 1)] and abs(got[0]["probability"] - 0.731059) < 1e-6
+
+
+def test_stitch_against_brute_force(monkeypatch):
+    r = random.Random(5)
+    monkeypatch.setattr(sequences, "BLOCK", 7)
+    names, puncs = ["O", "B-0", "B-1"], {"B-0": ", ", "B-1": "。 "}
+    for size, overlap in ((5, 2), (4, 3), (6, 0), (40, 10)):
+        for texts in (["abcdefghijklmnopqrstuvwxyz"], ["é漢🎉 x"], ["a"], ["hello world", "x" * 17, "🎉b"]):
+            table = [[r.choice([0, 0, 1, 2]) for _ in range(60)] for _ in range(60)]
+            predict = lambda w, start, piece: np.array(table[w][start : start + len(piece) - w % 2], int)  # noqa: B023, E731
+            votes = {}
+            for text in texts:
+                for w in range(max(0, -(-(len(text) - size) // (size - overlap))) + 1):
+                    start = w * (size - overlap)
+                    for i, k in enumerate(predict(w, start, text[start : start + size])):
+                        if k:
+                            n, first = votes.get((start + i, k), (0, w))
+                            votes[start + i, k] = (n + 1, min(first, w))
+            want = ""
+            for p, c in sorted((p, c) for text in texts for p, c in enumerate(text)):
+                found = max(((n, -first, k) for (at, k), (n, first) in votes.items() if at == p), default=(0, 0, 0))
+                want += c + (puncs[names[found[2]]] if found[2] else "")
+            assert sequences.stitch(texts, predict, names, puncs, size, overlap) == want
+
+
+def test_punct_stitch_shuffles_texts_only(spark, tmp_path):
+    """A row for each character in shuffles was more than the disk holds; repeated ids are one text, null ones have no labels."""
+    docs = spark.createDataFrame([(1, "ab  " * 300), (2, "x" * 900), (2, "yz" * 350), (None, " no id " * 90), (3, None), (4, "")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["punct_stitch"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    rows = {x["doc_id"]: x["sentence_md5"] for x in got.collect()}
+    assert set(rows) == {1, 2, None} and rows[None] == hashlib.md5((" no id " * 90).strip().encode()).hexdigest()
+    # Position by position with the characters of both rows, and the votes of both.
+    label, want = QUERIES["punct_stitch"].__globals__["_labels"], []
+    for p in range(900):
+        votes = {}
+        for n, text in ((900, "x"), (700, "yz")):
+            for w in range(max(0, -(-(n - 400) // 300)) + 1):
+                if w * 300 <= p < min(w * 300 + 400, n) and (k := int(label(w, w * 300, "." * 400)[p - w * 300])):
+                    votes.setdefault(k, []).append(w)
+        k = max(votes, key=lambda k: (len(votes[k]), -min(votes[k])), default=0)
+        behind = ["", ", ", "。 "][k]
+        want += ["x" + behind] + (["yz"[p % 2] + behind] if p < 700 else [])
+    assert rows[2] == hashlib.md5("".join(want).strip("\t\n\f\r ").encode()).hexdigest()
