@@ -11,7 +11,7 @@ clusters and over all members of the cluster. Members are the most frequent toke
 number grows with the vocabulary, and one for the cluster's other tokens; among these the
 add-one share of exact counts decides, in which an unseen token has the share of count 0.
 
-Every task trains on its own documents, in minibatches of drawn windows with drawn noise,
+Every task trains on its own documents, in minibatches of all its windows with drawn noise,
 from one and the same start; the tasks' parameters are averaged row by row, weighted by how
 often a row was trained (parameter mixing). Counts are exact and cover all training texts.
 """
@@ -37,8 +37,8 @@ from .common import by_bytes, crc_is, cut, table
 ORDER, WIDTH, WIDEN = 3, 32, 8
 #: Tokens whose counts the workers hold; those of other tokens are joined.
 HELD = 200_000
-#: Windows in a minibatch, the share of all windows that is drawn, noise for clusters and for members, size of the steps.
-BATCH, SHARE, NOISE, INNER, RATE, SEED = 8192, 0.25, 32, 16, 0.1, 1
+#: Windows in a minibatch, noise for clusters and for members, size of the steps.
+BATCH, NOISE, INNER, RATE, SEED = 8192, 32, 16, 0.1, 1
 #: Spelling: letter trigrams fall into so many slots, each with a random vector of so many numbers.
 SLOTS, SPELLED, TURNS = 4096, 32, 10
 #: A longer token is known by a digest, which no other token equals as it is longer than this, too.
@@ -56,11 +56,21 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= LONGEST else bytes(LONGEST - 31) + hashlib.blake2b(word, digest_size=32).digest()
 
 
+def byte_strings(strings: pa.StringArray) -> list[bytes]:
+    """The strings as UTF-8; to_pylist() takes several times as long."""
+    _, offsets, data = strings.buffers()
+    if not len(strings):
+        return []
+    at = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    whole = data.to_pybytes() if data is not None else b""
+    return [whole[s:e] for s, e in zip(at, at[1:])]  # noqa: B905
+
+
 def words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct keys of the texts' words, A-Z in lower case; each word's place among them; where each text's words begin."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     coded = lists.flatten().dictionary_encode()
-    own, codes = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    own, codes = byte_strings(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
     at = lists.offsets.to_numpy().astype(np.int64)
     if END in own:  # before white space at the start and behind that at the end
         real = codes != own.index(END)
@@ -274,14 +284,30 @@ def _log_share(s: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _odds(s: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+    """1 / (1 + exp(-s)); s is overwritten."""
+    np.clip(s, -30, 30, out=s)
+    np.negative(s, out=s)
+    np.exp(s, out=s)
+    s += 1
+    return np.reciprocal(s, out=s)
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of the runs of rows that begin at `first`."""
+    return np.add.reduceat(values, first, axis=0)
+
+
+def _starts(rows: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
 
 
 def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their values."""
-    found, own = np.unique(rows, return_inverse=True)
-    columns = np.ascontiguousarray(values.T)
-    return found, np.stack([np.bincount(own, c, len(found)) for c in columns], 1).astype(np.float32)
+    # Numbers of 16 bits are sorted by radix.
+    order = np.argsort(rows.astype(np.uint16) if rows.max() < 65_536 else rows, kind="stable")
+    ordered = rows[order]
+    first = _starts(ordered)
+    return ordered[first], _sums(values[order], first)
 
 
 class Trainer:
@@ -313,25 +339,44 @@ class Trainer:
         with_bias = lambda v, g: np.concatenate([g[:, None] * v, g[:, None]], 1)
         drawn = rng.choice(m.k, NOISE, p=m.noise)
         offset = m.outer_bias - m.log_noise - np.float32(math.log(NOISE))
-        good = _odds((u * m.outer[a]).sum(1) + offset[a]) - 1
-        bad = _odds(u @ m.outer[drawn].T + offset[drawn])
-        back = good[:, None] * m.outer[a] + bad @ m.outer[drawn]
-        outer = [(2 * m.n + a, with_bias(u, good)), (2 * m.n + drawn, np.concatenate([bad.T @ u, bad.sum(0)[:, None]], 1))]
+        true, noise = m.outer[a], m.outer[drawn]
+        good = _odds(np.einsum("bw,bw->b", u, true) + offset[a]) - 1
+        bad = _odds(u @ noise.T + offset[drawn])
+        back = good[:, None] * true + bad @ noise
+        # Rows are sorted, and so are their clusters: what they add is summed by runs.
+        groups = [(k, s, e) for k, s, e in m.groups(a)]
+        first = np.array([s for _, s, _ in groups])
+        outer = [(2 * m.n + a[first], _sums(with_bias(u, good), first)), (2 * m.n + drawn, np.concatenate([bad.T @ u, bad.sum(0)[:, None]], 1))]
         inner, offset = [], m.bias - m.log_within - np.float32(math.log(INNER))
-        for k, s, e in m.groups(a):
-            lo, hi = start[k], start[k + 1]
-            if hi - lo < 2:  # one member has probability 1
-                continue
-            base = self.upto[lo - 1] if lo else 0.0
-            drawn = np.minimum(lo + np.searchsorted(self.upto[lo:hi], base + rng.random(INNER) * (self.upto[hi - 1] - base)), hi - 1)
-            part, own = u[s:e], rows[s:e]
-            good = _odds((part * m.after[own]).sum(1) + offset[own]) - 1
-            bad = _odds(part @ m.after[drawn].T + offset[drawn])
-            back[s:e] += good[:, None] * m.after[own] + bad @ m.after[drawn]
-            inner += [(m.n + own, with_bias(part, good)), (m.n + drawn, np.concatenate([bad.T @ part, bad.sum(0)[:, None]], 1))]
+        groups = [(k, s, e) for k, s, e in groups if start[k + 1] - start[k] > 1]  # one member has probability 1
+        if groups:
+            lo, hi = (start[[k + d for k, _, _ in groups]] for d in (0, 1))
+            base = np.where(lo > 0, self.upto[lo - 1], 0.0)
+            asked = base[:, None] + rng.random((len(groups), INNER)) * (self.upto[hi - 1] - base)[:, None]
+            drawn = np.clip(np.searchsorted(self.upto, asked), lo[:, None], hi[:, None] - 1)
+            noise, true = m.after[drawn], m.after[rows]
+            good = _odds(np.einsum("bw,bw->b", u, true) + offset[rows]) - 1
+            good[(np.diff(start) < 2)[a]] = 0
+            bad = np.full((len(rows), INNER), -np.inf, np.float32)
+            for i, (_, s, e) in enumerate(groups):
+                np.matmul(u[s:e], noise[i].T, out=bad[s:e])
+                bad[s:e] += offset[drawn[i]]
+            _odds(bad)
+            back += good[:, None] * true
+            added = np.empty((len(groups), INNER, WIDTH + 1), np.float32)
+            for i, (_, s, e) in enumerate(groups):
+                part = bad[s:e]
+                back[s:e] += part @ noise[i]
+                added[i, :, :-1] = part.T @ u[s:e]
+                added[i, :, -1] = part.sum(0)
+            some = _starts(rows)
+            summed, own = _sums(with_bias(u, good), some), rows[some]
+            several = (np.diff(start) > 1)[m.cluster[own]]
+            inner = [(m.n + own[several], summed[several]), (m.n + drawn.ravel(), added.reshape(-1, WIDTH + 1))]
         place = np.concatenate([np.einsum("bw,jbw->jw", back, x), np.zeros((ORDER, 1), np.float32)], 1)
-        moved = (m.place[:, None, :] * back).reshape(-1, WIDTH)
-        for parts in (outer, inner, [(contexts.ravel(), np.concatenate([moved, np.zeros((len(moved), 1), np.float32)], 1))]):
+        moved = np.zeros((ORDER, len(rows), WIDTH + 1), np.float32)
+        np.multiply(m.place[:, None, :], back, out=moved[:, :, :-1])
+        for parts in (outer, inner, [(contexts.ravel(), moved.reshape(-1, WIDTH + 1))]):
             if parts:
                 self._update(*_by_row(*(np.concatenate(p) for p in zip(*parts, strict=True))), rate)
         self._update(2 * m.n + m.k + np.arange(ORDER), place, 0.1 * rate)
@@ -340,7 +385,7 @@ class Trainer:
 MIXED = "block int, pid int, weights binary, data binary"
 
 
-def train(texts: DataFrame, voc: Vocabulary, share: float = SHARE) -> Parameters:
+def train(texts: DataFrame, voc: Vocabulary, share: float = 1.0) -> Parameters:
     """The parameters for all rows of (text). Each task sends as many numbers as the model has; the driver gets their means."""
 
     def run(batches):
@@ -362,7 +407,8 @@ def train(texts: DataFrame, voc: Vocabulary, share: float = SHARE) -> Parameters
         for b in (part for batch in batches for part in by_bytes(batch, 0, TEXT)):
             own, line, asked, _ = laid_out(voc, b.column(0))
             row = voc.rows(own)[line]
-            asked = asked[trainer.rng.random(len(asked)) < share]
+            if share < 1:
+                asked = asked[trainer.rng.random(len(asked)) < share]
             for at in range(0, len(asked), 16 * BATCH):
                 some = asked[at : at + 16 * BATCH]
                 held.append((np.stack([row[some - j] for j in range(1, ORDER + 1)]), row[some]))
@@ -457,7 +503,7 @@ def score(docs: DataFrame, model: Parameters, seen: DataFrame) -> DataFrame:
     )
 
 
-def learned(texts: DataFrame, held: int = HELD, widen: int = WIDEN, share: float = SHARE) -> tuple[Parameters, DataFrame]:
+def learned(texts: DataFrame, held: int = HELD, widen: int = WIDEN, share: float = 1.0) -> tuple[Parameters, DataFrame]:
     """The model of all rows of (text), and the exact counts (token, n) of their tokens."""
     seen = cut(token_counts(texts))
     return train(texts, vocabulary(seen, held, widen), share), seen

@@ -12,7 +12,7 @@ from steleworks.llm import logbilinear, maxscore
 from steleworks.llm.queries import ORACLES, QUERIES
 
 from ..compare import oracle, rows
-from .helpers import awkward, empty
+from .helpers import awkward, empty, prose
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -142,6 +142,13 @@ def test_lm_splits_words_as_python_does():
         assert [own[c] for c in codes[at[k] : at[k + 1]]] == list(map(logbilinear.key_of, text.encode().lower().split()))
 
 
+def test_lm_trains_on_every_window(spark):
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, prose(r, 60)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    default, whole, part = (logbilinear.learned(docs, widen=1, **k)[0].values for k in ({}, {"share": 1.0}, {"share": 0.25}))
+    assert np.array_equal(default, whole) and not np.array_equal(default, part)
+
+
 def test_lm_on_an_empty_table(spark):
     docs = empty(spark).drop("held_out").selectExpr("*", "false AS held_out")
     model, seen = logbilinear.learned(docs)
