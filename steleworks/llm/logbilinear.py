@@ -43,6 +43,8 @@ BATCH, NOISE, INNER, RATE, SEED = 8192, 32, 16, 0.1, 1
 SLOTS, SPELLED, TURNS = 4096, 32, 10
 #: A longer token is known by a digest, which no other token equals as it is longer than this, too.
 LONGEST = 64
+#: Values of a row that are added one after another.
+PIECE = 16
 #: Places that are sorted by cluster and those that are scored at a time, bytes of text that are laid out at a time, and rows of the parameters that travel together.
 PLACES, STRIP, TEXT, BLOCK = 32_768, 4096, 4 << 20, 2048
 #: In place of the row of a token that is not held.
@@ -252,23 +254,25 @@ class Parameters:
     def log_probabilities(self, line: np.ndarray, asked: np.ndarray) -> np.ndarray:
         """ln P(row | the ORDER rows before) at each asked place of a line of rows, normalised over the clusters and over the members of the row's cluster."""
         out = np.empty(len(asked))
-        moved = [self.before * self.place[j] for j in range(ORDER)]
-        outer = np.ascontiguousarray(self.outer.T)
+        # With their last columns: that of the first position is 1 here, which adds the biases.
+        moved = list(self.values[: self.n] * self.values[2 * self.n + self.k :, None])
+        moved[0][:, -1] = 1
+        outer, after = np.ascontiguousarray(self.values[2 * self.n : 2 * self.n + self.k].T), self.values[self.n : 2 * self.n]
         for at in range(0, len(asked), PLACES):
             places = asked[at : at + PLACES]
-            order = np.argsort(line[places], kind="stable")
+            order = _order(line[places])
             places = places[order]
             r = line[places]
-            u = moved[0][line[places - 1]]
+            u = moved[0].take(line[places - 1], 0)
             for j in range(1, ORDER):
-                u += moved[j][line[places - j - 1]]
+                u += moved[j].take(line[places - j - 1], 0)
             a = self.cluster[r]
             value = np.empty(len(r))
             for s in range(0, len(r), STRIP):  # what is small stays in the cache
-                value[s : s + STRIP] = _log_share(u[s : s + STRIP] @ outer + self.outer_bias, a[s : s + STRIP])
+                value[s : s + STRIP] = _log_share(u[s : s + STRIP] @ outer, a[s : s + STRIP])
             for k, s, e in self.groups(a):
                 own = slice(self.voc.start[k], self.voc.start[k + 1])
-                value[s:e] += _log_share(u[s:e] @ self.after[own].T + self.bias[own], r[s:e] - own.start)
+                value[s:e] += _log_share(u[s:e] @ after[own].T, r[s:e] - own.start)
             out[at + order] = value
         return out
 
@@ -280,7 +284,7 @@ def _log_share(s: np.ndarray, at: np.ndarray) -> np.ndarray:
         np.maximum(s, -100, out=s)
     own = s[np.arange(len(s)), at]
     np.exp(s, out=s)
-    return own - np.log(s.sum(1))
+    return own - np.log(s @ np.ones(s.shape[1], s.dtype))
 
 
 def _odds(s: np.ndarray) -> np.ndarray:
@@ -292,22 +296,38 @@ def _odds(s: np.ndarray) -> np.ndarray:
     return np.reciprocal(s, out=s)
 
 
-def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The sums of the runs of rows that begin at `first`."""
-    return np.add.reduceat(values, first, axis=0)
-
-
 def _starts(rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
 
 
+def _order(rows: np.ndarray) -> np.ndarray:
+    """The stable order of the rows; numbers of 16 bits are sorted by radix."""
+    return np.argsort(rows.astype(np.uint16) if len(rows) and rows.max() < 65_536 else rows, kind="stable")
+
+
 def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and the sums of their values."""
-    # Numbers of 16 bits are sorted by radix.
-    order = np.argsort(rows.astype(np.uint16) if rows.max() < 65_536 else rows, kind="stable")
+    """Distinct rows, ascending, and the sums of their values."""
+    order = _order(rows)
     ordered = rows[order]
     first = _starts(ordered)
-    return ordered[first], _sums(values[order], first)
+    size = np.diff(np.append(first, len(rows)))
+    # A row's values are added in pieces of PIECE at the most, the k-th of all pieces that have one at once, the longest pieces first.
+    many = -(-size // PIECE)
+    run, at = np.repeat(np.arange(len(first)), many), np.cumsum(many) - many
+    begin = first[run] + PIECE * (np.arange(len(run)) - at[run])
+    long_ = np.minimum(PIECE, first[run] + size[run] - begin)
+    down = _order(PIECE - long_)
+    begin, longer = begin[down], len(down) - np.cumsum(np.bincount(long_, minlength=PIECE + 1))
+    sums = values.take(order[begin], 0)
+    for k in range(1, int(long_.max())):
+        sums[: longer[k]] += values.take(order[begin[: longer[k]] + k], 0)
+    pieces = np.empty_like(sums)
+    pieces[down] = sums
+    out, several = pieces.take(at, 0), np.flatnonzero(many > 1)
+    if len(several):
+        part = np.flatnonzero((many > 1)[run])
+        out[several] = np.add.reduceat(pieces.take(part, 0), _starts(run[part]), axis=0)
+    return ordered[first], out
 
 
 class Trainer:
@@ -322,64 +342,68 @@ class Trainer:
         self.squares = np.full(len(model.values), 1e-8, np.float32)
         self.trained = np.zeros(len(model.values), np.float32)
         self.upto = np.cumsum(model.within)
+        self.shift = model.log_noise + np.float32(math.log(NOISE))
+        self.shift_within = model.log_within + np.float32(math.log(INNER))
 
     def _update(self, rows: np.ndarray, slope: np.ndarray, rate: float) -> None:
-        self.squares[rows] += (slope[:, :-1] ** 2).mean(1)
-        step = rate / np.sqrt(self.squares[rows])[:, None] * slope
-        step[:, -1] *= 0.1
-        self.m.values[rows] -= step
+        self.squares[rows] += np.einsum("bw,bw->b", slope[:, :-1], slope[:, :-1]) / np.float32(WIDTH)
+        slope *= (rate / np.sqrt(self.squares[rows]))[:, None]
+        slope[:, -1] *= 0.1
+        self.m.values[rows] = self.m.values.take(rows, 0) - slope
         self.trained[rows] += 1
 
     def step(self, contexts: np.ndarray, rows: np.ndarray, rate: float) -> None:
+        """All rows of parameters are taken with their last column: u has a 1 there, which adds the biases and sums their slopes; contexts and positions have 0."""
         m, rng, start = self.m, self.rng, self.m.voc.start
-        order = np.argsort(rows, kind="stable")
+        order = _order(rows)
         rows, contexts = rows[order], contexts[:, order]
-        a, x = m.cluster[rows], m.before[contexts]
-        u = np.einsum("jbw,jw->bw", x, m.place)
-        with_bias = lambda v, g: np.concatenate([g[:, None] * v, g[:, None]], 1)
+        a, x = m.cluster[rows], m.values.take(contexts.ravel(), 0).reshape(ORDER, len(rows), WIDTH + 1)
+        after, outer, place = m.values[m.n : 2 * m.n], m.values[2 * m.n : 2 * m.n + m.k], m.values[2 * m.n + m.k :]
+        u = np.einsum("jbw,jw->bw", x, place)
+        u[:, -1] = 1
         drawn = rng.choice(m.k, NOISE, p=m.noise)
-        offset = m.outer_bias - m.log_noise - np.float32(math.log(NOISE))
-        true, noise = m.outer[a], m.outer[drawn]
-        good = _odds(np.einsum("bw,bw->b", u, true) + offset[a]) - 1
-        bad = _odds(u @ noise.T + offset[drawn])
-        back = good[:, None] * true + bad @ noise
+        true, noise = outer.take(a, 0), outer[drawn]
+        good = _odds(np.einsum("bw,bw->b", u, true) - self.shift[a]) - 1
+        bad = _odds(u @ noise.T - self.shift[drawn])
+        back = bad @ noise
+        true *= good[:, None]
+        back += true
         # Rows are sorted, and so are their clusters: what they add is summed by runs.
-        groups = [(k, s, e) for k, s, e in m.groups(a)]
-        first = np.array([s for _, s, _ in groups])
-        outer = [(2 * m.n + a[first], _sums(with_bias(u, good), first)), (2 * m.n + drawn, np.concatenate([bad.T @ u, bad.sum(0)[:, None]], 1))]
-        inner, offset = [], m.bias - m.log_within - np.float32(math.log(INNER))
+        groups = list(m.groups(a))
+        own = np.stack([good[s:e] @ u[s:e] for _, s, e in groups])
+        changed = [(np.concatenate([2 * m.n + a[[s for _, s, _ in groups]], 2 * m.n + drawn]), np.concatenate([own, bad.T @ u]))]
         groups = [(k, s, e) for k, s, e in groups if start[k + 1] - start[k] > 1]  # one member has probability 1
         if groups:
             lo, hi = (start[[k + d for k, _, _ in groups]] for d in (0, 1))
             base = np.where(lo > 0, self.upto[lo - 1], 0.0)
             asked = base[:, None] + rng.random((len(groups), INNER)) * (self.upto[hi - 1] - base)[:, None]
             drawn = np.clip(np.searchsorted(self.upto, asked), lo[:, None], hi[:, None] - 1)
-            noise, true = m.after[drawn], m.after[rows]
-            good = _odds(np.einsum("bw,bw->b", u, true) + offset[rows]) - 1
-            good[(np.diff(start) < 2)[a]] = 0
-            bad = np.full((len(rows), INNER), -np.inf, np.float32)
-            for i, (_, s, e) in enumerate(groups):
-                np.matmul(u[s:e], noise[i].T, out=bad[s:e])
-                bad[s:e] += offset[drawn[i]]
+            noise, true = after[drawn], after.take(rows, 0)
+            shifted = noise.copy()
+            shifted[:, :, -1] -= self.shift_within[drawn]
+            good = _odds(np.einsum("bw,bw->b", u, true) - self.shift_within[rows]) - 1
+            several = (np.diff(start) > 1)[a]
+            good[~several] = 0
+            bad = np.zeros((len(rows), INNER), np.float32)
+            for (_, s, e), q in zip(groups, shifted, strict=True):
+                np.matmul(u[s:e], q.T, out=bad[s:e])
             _odds(bad)
-            back += good[:, None] * true
-            added = np.empty((len(groups), INNER, WIDTH + 1), np.float32)
+            true *= good[:, None]
+            back += true
+            added, more = np.empty((len(groups), INNER, WIDTH + 1), np.float32), np.zeros_like(back)
             for i, (_, s, e) in enumerate(groups):
-                part = bad[s:e]
-                back[s:e] += part @ noise[i]
-                added[i, :, :-1] = part.T @ u[s:e]
-                added[i, :, -1] = part.sum(0)
-            some = _starts(rows)
-            summed, own = _sums(with_bias(u, good), some), rows[some]
-            several = (np.diff(start) > 1)[m.cluster[own]]
-            inner = [(m.n + own[several], summed[several]), (m.n + drawn.ravel(), added.reshape(-1, WIDTH + 1))]
-        place = np.concatenate([np.einsum("bw,jbw->jw", back, x), np.zeros((ORDER, 1), np.float32)], 1)
-        moved = np.zeros((ORDER, len(rows), WIDTH + 1), np.float32)
-        np.multiply(m.place[:, None, :], back, out=moved[:, :, :-1])
-        for parts in (outer, inner, [(contexts.ravel(), moved.reshape(-1, WIDTH + 1))]):
-            if parts:
-                self._update(*_by_row(*(np.concatenate(p) for p in zip(*parts, strict=True))), rate)
-        self._update(2 * m.n + m.k + np.arange(ORDER), place, 0.1 * rate)
+                np.matmul(bad[s:e], noise[i], out=more[s:e])
+                np.matmul(bad[s:e].T, u[s:e], out=added[i])
+            back += more
+            u *= good[:, None]
+            if not several.all():
+                rows, u = rows[several], u[several]
+            changed.append((m.n + np.concatenate([rows, drawn.ravel()]), np.concatenate([u, added.reshape(-1, WIDTH + 1)])))
+        changed.append((contexts.ravel(), (place[:, None, :] * back).reshape(-1, WIDTH + 1)))
+        moved = np.einsum("bw,jbw->jw", back, x)
+        for part in changed:
+            self._update(*_by_row(*part), rate)
+        self._update(2 * m.n + m.k + np.arange(ORDER), moved, 0.1 * rate)
 
 
 MIXED = "block int, pid int, weights binary, data binary"
