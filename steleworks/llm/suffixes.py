@@ -435,15 +435,20 @@ def op6_suffixes(spark, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark, docs: DataFrame, sf_dir: str, words: int | None = None) -> DataFrame:
     """Pipeline stage: repeated strings go from the texts; a text of which nothing but white space is left goes whole.
 
+    With `words`, strings of so many words that repeat go as well, however few bytes they have.
     Where a span ends inside a character, the whole character stays. Null and short texts
     stay as they are; other columns are kept, whatever their names.
     """
     k1, k2, cover = unused(docs.columns, "k1_", "k2_", "spans_")
     rows = keyed(docs)
     found = covered(rows)
+    if words:
+        from .passages import covered as passages
+
+        found = found.unionByName(passages(rows, words)).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     at = [c for c in docs.columns if c != "text"]
     both = docs.withColumns({k1: F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))), k2: F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1), F.col("doc_id").cast("long"))})
     joined = both.join(found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(cover)), [k1, k2], "left")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -9,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from steleworks.llm import boosting, langid, maintext, matroska, packing, simhash, suffixes, surrogates, unigram
+from steleworks.llm import boosting, langid, maintext, matroska, packing, passages, simhash, suffixes, surrogates, unigram
 
 from .helpers import awkward, brute_components, brute_spans, empty, prose, same_rows
 
@@ -220,6 +221,61 @@ def test_suffixes_against_brute_force(spark, limit, monkeypatch):
     assert same_rows(suffixes.digest(docs)) == sorted(want, key=repr)
 
 
+def _brute_passages(texts, n):
+    """The byte spans of each text that strings of n words cover that start twice, merged."""
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    keys = [[tuple(t[s:e] for s, e in w[p : p + n]) for p in range(len(w) - n + 1)] for t, w in zip(texts, words, strict=True)]
+    counts = Counter(k for ks in keys for k in ks)
+    spans = [[{"start": w[p][0], "end": w[p + n - 1][1]} for p, k in enumerate(ks) if counts[k] > 1] for w, ks in zip(words, keys, strict=True)]
+    return [suffixes.maximal(x) for x in spans]
+
+
+def test_passages_against_brute_force(spark):
+    r = random.Random(9)
+    shared = [" ".join(r.choice(["a", "of", "é", "漢", "the", "stone", "x" * 9]) for _ in range(80)) for _ in range(3)]
+    rows = []
+    for i in range(50):
+        parts = [prose(r, r.randint(0, 70)) for _ in range(2)]
+        if i % 3:
+            own = r.choice(shared).split(" ")
+            own = own[r.randint(0, 25) :] if i % 2 else own[: len(own) - r.randint(0, 35)]
+            parts.insert(r.randint(0, 2), r.choice(" \n\t").join(own))
+        rows.append((i, "  ".join(parts)))
+    rows += [(60, "the " * 70), (61, "漢字" * 300), (62, rows[4][1]), (62, rows[4][1]), (63, "w" * 600_000 + " " + rows[5][1]), (64, None), (65, " \n"), (None, rows[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = [(t or "").encode() for _, t in rows]
+    found = suffixes.keyed(docs).join(passages.covered(suffixes.keyed(docs), 51), ["k1", "k2"], "left").select("doc_id", "text", "spans").collect()
+    got = sorted((repr(x["doc_id"]), x["text"], suffixes.maximal(x["spans"])) for x in found)
+    want = [(repr(i), t.decode(), s) for (i, _), t, s in zip(rows, texts, _brute_passages(texts, 51), strict=True)]
+    assert got == sorted(want) and 20 < sum(bool(s) for _, _, s in want) < 50
+
+
+def test_passages_of_few_bytes_go_from_the_stage(spark):
+    r = random.Random(4)
+    passage = " ".join(r.choice(["an", "of", "to", "ten"]) for _ in range(60))
+    docs = spark.createDataFrame([(i, f"{prose(r, 40)} {passage if i < 2 else ''} {prose(r, 40)}", 1) for i in range(4)], "doc_id long, text string, n_chars long")
+    assert len(passage.encode()) < 400
+    by = {x["doc_id"]: x for x in docs.collect()}
+    assert same_rows(suffixes.stage(spark, docs, "").drop("n_chars")) == same_rows(docs.drop("n_chars"))
+    for x in suffixes.stage(spark, docs, "", words=51).collect():
+        assert x["text"] == by[x["doc_id"]]["text"].replace(passage, "") and x["n_chars"] == len(x["text"])
+
+
+def test_runs_of_passages_hold_every_window_once(monkeypatch):
+    r = random.Random(2)
+    texts = [prose(r, n).encode() for n in (0, 3, 51, 400, 60, 900, 52)]
+    texts.append(texts[3])
+    for size in (passages.BUFFER, 300):
+        monkeypatch.setattr(passages, "BUFFER", size)
+        grams, seen = {}, Counter()
+        for run in passages.runs(texts, 51):
+            for k, first, last, gram in zip(*(run[x].tolist() for x in ("text", "first", "last", "gram")), strict=True):
+                for p in range(first, last + 1):
+                    seen[k, p] += 1
+                    assert grams.setdefault(tuple(texts[k].split()[p : p + 51]), gram) == gram
+        assert seen == Counter((k, p) for k, t in enumerate(texts) for p in range(len(t.split()) - 50))
+
+
 def test_suffixes_on_awkward_documents(spark):
     docs = awkward(spark, 20_000)
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
