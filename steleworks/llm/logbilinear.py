@@ -47,8 +47,6 @@ LONGEST = 64
 PIECE = 16
 #: Places that are sorted by cluster and those that are scored at a time, bytes of text that are laid out at a time, and rows of the parameters that travel together.
 PLACES, STRIP, TEXT, BLOCK = 32_768, 4096, 4 << 20, 2048
-#: In place of the row of a token that is not held.
-NEW = -(1 << 40)
 #: The token that ends a text; no word is empty.
 END = b""
 
@@ -58,7 +56,7 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= LONGEST else bytes(LONGEST - 31) + hashlib.blake2b(word, digest_size=32).digest()
 
 
-def byte_strings(strings: pa.StringArray) -> list[bytes]:
+def byte_strings(strings: pa.StringArray | pa.BinaryArray) -> list[bytes]:
     """The strings as UTF-8; to_pylist() takes several times as long."""
     _, offsets, data = strings.buffers()
     if not len(strings):
@@ -68,16 +66,24 @@ def byte_strings(strings: pa.StringArray) -> list[bytes]:
     return [whole[s:e] for s, e in zip(at, at[1:])]  # noqa: B905
 
 
-def words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def coded(texts: pa.Array) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
     """The distinct keys of the texts' words, A-Z in lower case; each word's place among them; where each text's words begin."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    coded = lists.flatten().dictionary_encode()
-    own, codes = byte_strings(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
-    at = lists.offsets.to_numpy().astype(np.int64)
-    if END in own:  # before white space at the start and behind that at the end
-        real = codes != own.index(END)
+    found = lists.flatten().dictionary_encode()
+    own, codes = found.dictionary.cast(pa.binary()), found.indices.to_numpy(zero_copy_only=False)
+    at, sizes = lists.offsets.to_numpy().astype(np.int64), pc.binary_length(own).to_numpy(zero_copy_only=False)
+    if len(none := np.flatnonzero(sizes == 0)):  # before white space at the start and behind that at the end
+        real = codes != none[0]
         at, codes = np.concatenate([[0], np.cumsum(real)])[at - at[0]], codes[real]
-    return [key_of(w) for w in own], codes.astype(np.int64), at - at[0]
+    if (long_ := sizes > LONGEST).any():
+        own = pc.replace_with_mask(own, pa.array(long_), pa.array([key_of(w) for w in own.filter(pa.array(long_)).to_pylist()], pa.binary()))
+    return own, codes.astype(np.int64), at - at[0]
+
+
+def words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """coded(), the keys as bytes."""
+    own, codes, at = coded(texts)
+    return byte_strings(own), codes, at
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -166,11 +172,32 @@ class Vocabulary(NamedTuple):
 
     def rows(self, tokens: list[bytes]) -> np.ndarray:
         """Each token's row: its own, or that of its cluster's other tokens."""
-        out = np.fromiter((f[1] if (f := self.held.get(t)) else NEW for t in tokens), np.int64, len(tokens))
-        new = np.flatnonzero(out == NEW)
-        out = np.maximum(out, ~out)
-        out[new] = self.start[self.others([tokens[i] for i in new.tolist()]) + 1] - 1
-        return out
+        return Lookup(self).find(pa.array(tokens, pa.binary())).row
+
+
+class Found(NamedTuple):
+    """For each of some keys: whether it is held, whether it is a member, its count (0, if not held) and its row."""
+
+    known: np.ndarray
+    member: np.ndarray
+    count: np.ndarray
+    row: np.ndarray
+
+
+class Lookup:
+    """The held tokens in Arrow's arrays, in which many keys are looked up at a time; voc: the vocabulary without them, to be sent to workers."""
+
+    def __init__(self, voc: Vocabulary):
+        self.voc, self.keys = voc._replace(held={}), pa.array(list(voc.held), pa.binary())
+        self.count, self.row = np.array(list(voc.held.values()), np.int64).T.copy()
+
+    def find(self, keys: pa.BinaryArray) -> Found:
+        at = pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy(zero_copy_only=False)
+        known, row = at >= 0, self.row[at]
+        member, count, row = known & (row >= 0), np.where(known, self.count[at], 0), np.maximum(row, ~row)
+        new = np.flatnonzero(~known)
+        row[new] = self.voc.start[self.voc.others(byte_strings(keys.take(pa.array(new)))) + 1] - 1
+        return Found(known, member, count, row)
 
 
 def vocabulary(seen: DataFrame, held: int = HELD, widen: int = WIDEN) -> Vocabulary:
@@ -210,13 +237,13 @@ def vocabulary(seen: DataFrame, held: int = HELD, widen: int = WIDEN) -> Vocabul
     return Vocabulary(known, centre, start, mass, weight, int(n), int(types))
 
 
-def laid_out(voc: Vocabulary, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def laid_out(texts: pa.Array) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts in a row, each with ORDER ends before it and one behind.
 
     The distinct keys, END the last; each place's key; which places are predicted; the
     number of the text of each of these.
     """
-    own, codes, at = words(texts)
+    own, codes, at = coded(texts)
     sizes, many = np.diff(at), len(at) - 1
     line = np.full(len(codes) + (ORDER + 1) * many, len(own), np.int64)
     owner = np.repeat(np.arange(many), sizes)
@@ -224,7 +251,7 @@ def laid_out(voc: Vocabulary, texts: pa.Array) -> tuple[list[bytes], np.ndarray,
     asked = np.ones(len(line), bool)
     begin = at[:-1] + (ORDER + 1) * np.arange(many)
     asked[(begin[:, None] + np.arange(ORDER)).ravel()] = False
-    return [*own, END], line, np.flatnonzero(asked), np.repeat(np.arange(many), sizes + 1)
+    return pa.concat_arrays([own, pa.array([END], pa.binary())]), line, np.flatnonzero(asked), np.repeat(np.arange(many), sizes + 1)
 
 
 class Parameters:
@@ -288,12 +315,11 @@ def _log_share(s: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _odds(s: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-s)); s is overwritten."""
+    """1 / (1 + exp(s)); s is overwritten."""
     np.clip(s, -30, 30, out=s)
-    np.negative(s, out=s)
     np.exp(s, out=s)
     s += 1
-    return np.reciprocal(s, out=s)
+    return np.divide(np.float32(1), s, out=s)
 
 
 def _starts(rows: np.ndarray) -> np.ndarray:
@@ -356,49 +382,46 @@ class Trainer:
         """All rows of parameters are taken with their last column: u has a 1 there, which adds the biases and sums their slopes; contexts and positions have 0."""
         m, rng, start = self.m, self.rng, self.m.voc.start
         order = _order(rows)
-        rows, contexts = rows[order], contexts[:, order]
+        rows, contexts = rows.take(order), contexts.take(order, 1)
         a, x = m.cluster[rows], m.values.take(contexts.ravel(), 0).reshape(ORDER, len(rows), WIDTH + 1)
-        after, outer, place = m.values[m.n : 2 * m.n], m.values[2 * m.n : 2 * m.n + m.k], m.values[2 * m.n + m.k :]
+        place = m.values[2 * m.n + m.k :]
         u = np.einsum("jbw,jw->bw", x, place)
         u[:, -1] = 1
-        drawn = rng.choice(m.k, NOISE, p=m.noise)
-        true, noise = outer.take(a, 0), outer[drawn]
-        good = _odds(np.einsum("bw,bw->b", u, true) - self.shift[a]) - 1
-        bad = _odds(u @ noise.T - self.shift[drawn])
-        back = bad @ noise
+        # Rows are sorted, and so are their clusters. What a run of a cluster is compared with, the cluster itself among it, is one matrix.
+        groups = list(m.groups(a))
+        own = np.array([k for k, _, _ in groups])
+        lo, hi = start[own], start[own + 1]
+        base = np.where(lo > 0, self.upto[lo - 1], 0.0)
+        drawn = np.broadcast_to(rng.choice(m.k, NOISE, p=m.noise), (len(own), NOISE))
+        asked = base[:, None] + rng.random((len(own), INNER)) * (self.upto[hi - 1] - base)[:, None]
+        inner = np.clip(np.searchsorted(self.upto, asked), lo[:, None], hi[:, None] - 1)
+        outer = np.concatenate([drawn, own[:, None]], 1)
+        noise = m.values.take(np.concatenate([2 * m.n + outer, m.n + inner], 1), 0)
+        shifted = -noise
+        shifted[:, :, -1] += np.concatenate([self.shift[outer], self.shift_within[inner]], 1)
+        bad, added = np.empty((len(rows), noise.shape[1]), np.float32), np.empty_like(noise)
+        for (_, s, e), q in zip(groups, shifted, strict=True):
+            np.matmul(u[s:e], q.T, out=bad[s:e])
+        _odds(bad)
+        bad[:, NOISE] -= 1
+        true = m.values.take(m.n + rows, 0)
+        good = _odds(self.shift_within[rows] - np.einsum("bw,bw->b", u, true)) - 1
+        several = hi - lo > 1
+        if not several.all():  # one member has probability 1
+            alone = ~np.repeat(several, [e - s for _, s, e in groups])
+            good[alone] = bad[alone, NOISE + 1 :] = 0
+        back = np.empty_like(u)
+        for (_, s, e), q, out in zip(groups, noise, added, strict=True):
+            np.matmul(bad[s:e], q, out=back[s:e])
+            np.matmul(bad[s:e].T, u[s:e], out=out)
         true *= good[:, None]
         back += true
-        # Rows are sorted, and so are their clusters: what they add is summed by runs.
-        groups = list(m.groups(a))
-        own = np.stack([good[s:e] @ u[s:e] for _, s, e in groups])
-        changed = [(np.concatenate([2 * m.n + a[[s for _, s, _ in groups]], 2 * m.n + drawn]), np.concatenate([own, bad.T @ u]))]
-        groups = [(k, s, e) for k, s, e in groups if start[k + 1] - start[k] > 1]  # one member has probability 1
-        if groups:
-            lo, hi = (start[[k + d for k, _, _ in groups]] for d in (0, 1))
-            base = np.where(lo > 0, self.upto[lo - 1], 0.0)
-            asked = base[:, None] + rng.random((len(groups), INNER)) * (self.upto[hi - 1] - base)[:, None]
-            drawn = np.clip(np.searchsorted(self.upto, asked), lo[:, None], hi[:, None] - 1)
-            noise, true = after[drawn], after.take(rows, 0)
-            shifted = noise.copy()
-            shifted[:, :, -1] -= self.shift_within[drawn]
-            good = _odds(np.einsum("bw,bw->b", u, true) - self.shift_within[rows]) - 1
-            several = (np.diff(start) > 1)[a]
-            good[~several] = 0
-            bad = np.zeros((len(rows), INNER), np.float32)
-            for (_, s, e), q in zip(groups, shifted, strict=True):
-                np.matmul(u[s:e], q.T, out=bad[s:e])
-            _odds(bad)
-            true *= good[:, None]
-            back += true
-            added, more = np.empty((len(groups), INNER, WIDTH + 1), np.float32), np.zeros_like(back)
-            for i, (_, s, e) in enumerate(groups):
-                np.matmul(bad[s:e], noise[i], out=more[s:e])
-                np.matmul(bad[s:e].T, u[s:e], out=added[i])
-            back += more
-            u *= good[:, None]
-            if not several.all():
-                rows, u = rows[several], u[several]
-            changed.append((m.n + np.concatenate([rows, drawn.ravel()]), np.concatenate([u, added.reshape(-1, WIDTH + 1)])))
+        u *= good[:, None]
+        changed = [(2 * m.n + np.concatenate([own, drawn[0]]), np.concatenate([added[:, NOISE], added[:, :NOISE].sum(0)]))]
+        if several.all():
+            changed.append((m.n + np.concatenate([rows, inner.ravel()]), np.concatenate([u, added[:, NOISE + 1 :].reshape(-1, WIDTH + 1)])))
+        elif several.any():
+            changed.append((m.n + np.concatenate([rows[~alone], inner[several].ravel()]), np.concatenate([u[~alone], added[several, NOISE + 1 :].reshape(-1, WIDTH + 1)])))
         changed.append((contexts.ravel(), (place[:, None, :] * back).reshape(-1, WIDTH + 1)))
         moved = np.einsum("bw,jbw->jw", back, x)
         for part in changed:
@@ -411,32 +434,33 @@ MIXED = "block int, pid int, weights binary, data binary"
 
 def train(texts: DataFrame, voc: Vocabulary, share: float = 1.0) -> Parameters:
     """The parameters for all rows of (text). Each task sends as many numbers as the model has; the driver gets their means."""
+    lookup = Lookup(voc)
 
     def run(batches):
-        model, pid = Parameters(voc), TaskContext.get().partitionId()
+        model, pid = Parameters(lookup.voc), TaskContext.get().partitionId()
         trainer, held = Trainer(model, pid), []
 
         def learn(final: bool):
             """Minibatches of what is held, in a drawn order; what is too little for one waits."""
-            contexts, rows = (np.concatenate([h[i] for h in held], -1) for i in range(2))
+            windows = np.concatenate(held, 1)
             held.clear()
-            order = trainer.rng.permutation(len(rows))
-            for at in range(0, len(order), BATCH):
-                some = order[at : at + BATCH]
-                if len(some) < BATCH and not final:
-                    held.append((contexts[:, some], rows[some]))
+            windows = windows.take(trainer.rng.permutation(windows.shape[1]), 1)
+            for at in range(0, windows.shape[1], BATCH):
+                some = windows[:, at : at + BATCH]
+                if some.shape[1] < BATCH and not final:
+                    held.append(some)
                 else:
-                    trainer.step(contexts[:, some], rows[some], RATE)
+                    trainer.step(some[1:], some[0], RATE)
 
         for b in (part for batch in batches for part in by_bytes(batch, 0, TEXT)):
-            own, line, asked, _ = laid_out(voc, b.column(0))
-            row = voc.rows(own)[line]
+            own, line, asked, _ = laid_out(b.column(0))
+            row = lookup.find(own).row[line]
             if share < 1:
                 asked = asked[trainer.rng.random(len(asked)) < share]
             for at in range(0, len(asked), 16 * BATCH):
                 some = asked[at : at + 16 * BATCH]
-                held.append((np.stack([row[some - j] for j in range(1, ORDER + 1)]), row[some]))
-                if sum(len(h[1]) for h in held) >= 16 * BATCH:
+                held.append(np.stack([row[some - j] for j in range(ORDER + 1)]))
+                if sum(h.shape[1] for h in held) >= 16 * BATCH:
                     learn(False)
         if held:
             learn(True)
@@ -480,19 +504,16 @@ def score(docs: DataFrame, model: Parameters, seen: DataFrame) -> DataFrame:
     Counts of tokens that the workers don't hold are joined. Null and empty texts consist
     of their end. Repeated rows are scored each for itself. Other columns don't matter.
     """
-    voc = model.voc
+    lookup, values = Lookup(model.voc), model.values
     kinds = pa.struct([("token", pa.binary()), ("times", pa.int32())])
 
     def run(batches):
-        pid, seq = TaskContext.get().partitionId(), 0
+        pid, seq, voc = TaskContext.get().partitionId(), 0, lookup.voc
+        model = Parameters(voc, values)
         mass = np.log10(voc.mass)
         for b in (part for batch in batches for part in by_bytes(batch, 2, TEXT)):
-            own, line, asked, owner = laid_out(voc, b.column(2))
-            found = [voc.held.get(w) for w in own]
-            count = np.fromiter((f[0] if f else 0 for f in found), np.int64, len(own))
-            member = np.fromiter((f is not None and f[1] >= 0 for f in found), bool, len(own))
-            known = np.fromiter((f is not None for f in found), bool, len(own))
-            rows = voc.rows(own)
+            own, line, asked, owner = laid_out(b.column(2))
+            known, member, count, rows = lookup.find(own)
             # What a token adds to both scores; a count that isn't held is joined as log10(count + 1).
             base = np.log10(count + 1) - math.log10(voc.total)
             inner = np.where(member, 0.0, np.log10(count + 1) - mass[model.cluster[rows]])
@@ -500,14 +521,13 @@ def score(docs: DataFrame, model: Parameters, seen: DataFrame) -> DataFrame:
             value = model.log_probabilities(row, asked) / math.log(10) + inner[code]
             many = b.num_rows
             sums = [np.bincount(owner, w, many) for w in (base[code], value)]
-            events: list[list[dict]] = [[] for _ in range(many)]
             odd = np.flatnonzero(~known[code])
             pairs, times = np.unique(owner[odd] * len(own) + code[odd], return_counts=True)
-            for d, w, n in zip((pairs // len(own)).tolist(), (pairs % len(own)).tolist(), times.tolist(), strict=True):
-                events[d].append({"token": own[w], "times": n})
+            of_pair = pa.StructArray.from_arrays([own.take(pa.array(pairs % len(own))), pa.array(times.astype(np.int32))], fields=list(kinds))
+            events = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs, np.arange(many + 1) * len(own)).astype(np.int32)), of_pair)
             cols = [
                 pa.array([pid] * many, pa.int32()), pa.array(range(seq, seq + many), pa.int64()), b.column(0), b.column(1), pa.array(np.bincount(owner, minlength=many)),
-                pa.array(np.bincount(owner, known[code] & (count[code] > 0), many).astype(np.int64)), *map(pa.array, sums), pa.array(events, pa.list_(kinds)),
+                pa.array(np.bincount(owner, known[code] & (count[code] > 0), many).astype(np.int64)), *map(pa.array, sums), events,
             ]
             seq += many
             yield pa.RecordBatch.from_arrays(cols, ["pid", "seq", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "events"])
@@ -521,7 +541,7 @@ def score(docs: DataFrame, model: Parameters, seen: DataFrame) -> DataFrame:
         "held_out",
         "n_tokens",
         (F.col("n_known") + zero("more_known")).alias("n_known"),
-        F.lit(voc.tokens).cast("long").alias("train_tokens"),
+        F.lit(lookup.voc.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("more")).alias("base_score"),
         (F.col("score") + zero("more")).alias("score"),
     )

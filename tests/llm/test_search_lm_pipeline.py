@@ -169,6 +169,36 @@ def test_lm_sums_by_row_are_right_and_quick():
     assert least(logbilinear._by_row, *args) < 0.85 * least(runs, *args)
 
 
+def test_lm_finds_held_tokens_quickly(spark):
+    r = random.Random(6)
+    some = sorted({prose(r, 1).encode() + str(i % 9000).encode() for i in range(30_000)} | {logbilinear.key_of(b"q" * 99), logbilinear.END})
+    held = {w: (i + 1, i // 2 if i % 2 else ~(i // 2)) for i, w in enumerate(some[::2])}
+    voc = logbilinear.Vocabulary(held, logbilinear.centroids(some[:50], np.ones(50), 4), np.arange(0, 5 * 9000, 9000), np.ones(4), np.ones(36_000), 9, 9)
+    lookup, keys = logbilinear.Lookup(voc), pa.array(some, pa.binary())
+    found = lookup.find(keys)
+    for i, w in enumerate(some):
+        count, row = held.get(w, (0, None))
+        assert (found.known[i], found.member[i], found.count[i]) == (w in held, row is not None and row >= 0, count)
+        assert row is None or found.row[i] == max(row, ~row)
+    assert (found.row[1::2] == voc.start[voc.others(some[1::2]) + 1] - 1).all()
+    many = some[::2] * 8
+    keys = pa.array(many, pa.binary())
+
+    def one_by_one():
+        f = [held.get(w) for w in logbilinear.byte_strings(keys)]
+        return [np.fromiter((g(x) for x in f), np.int64, len(f)) for g in (lambda x: x is not None, lambda x: x[1] >= 0, lambda x: x[0], lambda x: max(x[1], ~x[1]))]
+
+    took = []
+    for f in (lambda: lookup.find(keys), one_by_one):
+        own = []
+        for _ in range(5):
+            t = time.thread_time()
+            f()
+            own.append(time.thread_time() - t)
+        took.append(min(own))
+    assert took[0] < 0.6 * took[1]
+
+
 def test_lm_trains_on_every_window(spark):
     r = random.Random(8)
     docs = spark.createDataFrame([(i, prose(r, 60)) for i in range(40)], "doc_id long, text string").coalesce(1)
