@@ -406,33 +406,43 @@ def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+PASSAGES = ", n_passages long, n_passage_bytes long"
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, words: int | None = None) -> DataFrame:
     """What is removed from each document (see DIGEST).
 
+    With `words`, also the maximal spans, and their bytes, that strings of so many words
+    cover which start elsewhere too, however few bytes they have; these are told, not removed.
+
     Null texts are empty; texts below WINDOW bytes stay whole. A row that repeats is
     another place where its strings start, so both go. Other columns don't matter.
     """
     rows = keyed(docs)
     found = covered(rows)
+    if words:
+        from .passages import covered as passages
+
+        found = found.join(passages(rows, words).withColumnRenamed("spans", "passages"), ["k1", "k2"], "full")
+    schema = DIGEST + PASSAGES if words else DIGEST
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for b in slices(batches, 512):
             out = []
-            for doc, text, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, text, spans, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data, spans = text.encode(), maximal(spans)
                 rest = kept(data, spans)
-                out.append((doc, len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
+                told = [x for m in map(maximal, more) for x in (len(m), sum(e - s for s, e in m))]
+                out.append((doc, len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), *told))
             if out:
-                types = [_LONG, _LONG, _LONG, _LONG, pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "kept_sha256" else _LONG) for c, n in zip(zip(*out, strict=True), names, strict=True)], names)
 
-    return rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(run, DIGEST)
+    return rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", *found.columns[2:]).mapInArrow(run, schema)
 
 
 def op6_suffixes(spark, sf_dir: str) -> DataFrame:
-    return digest(table(spark, sf_dir, "documents"))
+    return digest(table(spark, sf_dir, "documents"), words=51)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str, words: int | None = None) -> DataFrame:

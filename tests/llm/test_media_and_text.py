@@ -250,6 +250,19 @@ def test_passages_against_brute_force(spark):
     assert got == sorted(want) and 20 < sum(bool(s) for _, _, s in want) < 50
 
 
+def test_op6_tells_passages_of_few_bytes(spark, tmp_path):
+    r = random.Random(12)
+    passage = " ".join(prose(r, 1)[:6] for _ in range(52))
+    assert len(passage.encode()) < 400
+    texts = [f"{prose(r, 40)} {passage} {prose(r, 30)}", f"{passage} {prose(r, 60)}", prose(r, 90), None, " ".join(passage.split()[:50])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {row["doc_id"]: row for row in suffixes.op6_suffixes(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        want = (1, len(passage.encode())) if i < 2 else (0, 0)
+        assert (got[i]["n_passages"], got[i]["n_passage_bytes"]) == want
+        assert got[i]["n_removed"] == 0 and got[i]["kept_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
 def test_passages_of_few_bytes_go_from_the_stage(spark):
     r = random.Random(4)
     passage = " ".join(r.choice(["an", "of", "to", "ten"]) for _ in range(60))
