@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -32,11 +33,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+#: With this Spark deletes the shuffle files of a query that ends; else they stay until the driver's JVM happens to collect its garbage.
+_SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _swept(spark: SparkSession):
+    before = spark.conf.get(_SWEEP, None)
+    spark.conf.set(_SWEEP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SWEEP)
+        else:
+            spark.conf.set(_SWEEP, before)
+
+
 def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there."""
+    """Write df to the shared folder and read it back: lineage ends there, and nothing reads its shuffle files any more."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/steleworks/{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    with _swept(spark):
+        (df.coalesce(partitions) if partitions else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._steleworks_path = path
     return out

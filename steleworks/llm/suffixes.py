@@ -374,6 +374,7 @@ def covered(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     rest = kinds.join(cores, ["r1", "r2"]).join(raw.select("c1", "c2", "bytes"), ["c1", "c2"])
     piece = F.expr("substring(bytes, cast(above - high + 1 as int), cast(high - low as int) + %d)" % WINDOW)
     rest = cut(rest.select("r1", "r2", "c1", "c2", "high", "low", "occ", piece.alias("bytes"), "kinds"))
+    release(raw)
     again = kinds.filter("occ > 1").select("r1", "r2", "x1", "x2")
     whole = parts.filter("n = 1").join(again, ["r1", "r2", "x1", "x2"], "left_semi").select("c1", "c2", "high", "low")
     hit = sorted_cores(rest.filter(F.col("kinds") <= limit).drop("kinds")).unionByName(counted_windows(rest.filter(F.col("kinds") > limit).drop("kinds"))).unionByName(whole)
@@ -382,7 +383,7 @@ def covered(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     spans = runs_.select("k1", "k2", "anchor", "c1", "c2").join(of_run, ["c1", "c2"])
     spans = spans.select("k1", "k2", (F.col("anchor") - F.col("high")).alias("start"), (F.col("anchor") - F.col("low") + WINDOW).alias("end"))
     out = cut(merged(spans).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    release(runs_, own, raw, parts, kinds, rest)
+    release(runs_, own, parts, kinds, rest)
     return out
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from steleworks.llm import boosting, langid, maintext, matroska, packing, passages, simhash, suffixes, surrogates, unigram
+from steleworks.llm import boosting, common, langid, maintext, matroska, packing, passages, simhash, suffixes, surrogates, unigram
 
 from .helpers import awkward, brute_components, brute_spans, empty, prose, same_rows
 
@@ -274,6 +275,19 @@ def test_passages_of_few_bytes_go_from_the_stage(spark):
         assert x["text"] == by[x["doc_id"]]["text"].replace(passage, "") and x["n_chars"] == len(x["text"])
 
 
+def test_shuffle_files_go_when_a_step_ends(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = lambda: {f for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, was = held(), spark.conf.get(setting, None)
+    docs = spark.range(20_000).selectExpr("id", "id % 700 AS k")
+    out = common.cut(docs.groupBy("k").count().repartition(3, "count"))
+    ends = time.monotonic() + 10
+    while held() - before and time.monotonic() < ends:
+        time.sleep(0.1)
+    assert not held() - before and out.count() == 700
+    assert spark.conf.get(setting, None) == was
+
+
 def test_runs_of_passages_hold_every_window_once(monkeypatch):
     r = random.Random(2)
     texts = [prose(r, n).encode() for n in (0, 3, 51, 400, 60, 900, 52)]
